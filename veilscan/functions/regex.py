@@ -105,7 +105,3 @@ def _ends_in_word(head: str) -> bool:
         head = head[: head.rindex("{")]
     return head.endswith(("\\d", "[A-Za-z]", "[A-Z0-9]", "[A-Za-z0-9]"))
 
-
-def any_of(words: list[str]) -> str:
-    """A pattern that finds any of the given plain words."""
-    return "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words)

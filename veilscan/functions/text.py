@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,17 @@ def mask(value: Column) -> Column:
     )
 
 
+def contains_any(lowered: Column, words: Iterable[str]) -> Column:
+    """True if any of the words occurs. Plain searches beat one pattern of alternatives."""
+    lower = {w.lower() for w in words}
+    # A word that contains another one adds nothing.
+    needed = sorted(w for w in lower if not any(o != w and o in w for o in lower))
+    return let(
+        lowered,
+        lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in needed]),
+    )
+
+
 def context_of(text: Column, start: Column, end: Column, window: int) -> Column:
     """Lower-cased slice around ``[start, end)``, clipped to the text."""
     first = F.greatest(start - window, F.lit(0))

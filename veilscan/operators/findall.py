@@ -15,15 +15,13 @@ def without_mark(text: Column) -> Column:
     return F.replace(text, F.lit(MARK), F.lit(STAND_IN))
 
 
-def find_all(text: Column, java_pattern: str) -> Column:
-    """All matches as ``array<struct<start, text>>``, positions in characters.
+def mark_matches(text: Column, java_pattern: str) -> Column:
+    """Text cut at both sides of every match: gap, match, gap, match, ..., gap."""
+    return F.split(F.regexp_replace(text, java_pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
-    Spark returns matched strings but not where they are. One pass of the pattern
-    puts a mark on both sides of each match; splitting at the mark then alternates
-    between gap and match, and lengths add up to positions. Pass text through
-    :func:`without_mark` first.
-    """
-    parts = F.split(F.regexp_replace(text, java_pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+def locate(parts: Column) -> Column:
+    """Matches with their places from cut text, as ``array<struct<start, text>>``."""
     start = F.struct(
         F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast(FOUND_TYPE).alias("found")
     )
@@ -41,6 +39,17 @@ def find_all(text: Column, java_pattern: str) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
+def find_all(text: Column, java_pattern: str) -> Column:
+    """All matches as ``array<struct<start, text>>``, positions in characters.
+
+    Spark returns matched strings but not where they are. One pass of the pattern
+    puts a mark on both sides of each match; splitting at the mark then alternates
+    between gap and match, and lengths add up to positions. Pass text through
+    :func:`without_mark` first.
+    """
+    return locate(mark_matches(text, java_pattern))
+
+
 def find_positions(df: DataFrame, id_col: str, text_col: str, java_pattern: str) -> DataFrame:
     """One row per match over whole texts: ``id_col, start, end, text``."""
     found = find_all(without_mark(F.col(text_col)), java_pattern)

@@ -8,16 +8,14 @@ only per-file figures read them off the row as well.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
-from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.regex import any_of, to_java
-from veilscan.functions.text import context_of, has_content, let, mask
+from veilscan.functions.regex import to_java
+from veilscan.functions.text import contains_any, context_of, has_content, let, mask
 from veilscan.operators.chunks import chunk_array
-from veilscan.operators.findall import find_all, without_mark
+from veilscan.operators.findall import locate, mark_matches, without_mark
 from veilscan.params import ScanParams
 from veilscan.rules import CONTEXT_WINDOW, Rule
 
@@ -36,83 +34,128 @@ def _no_hits() -> Column:
     return F.array().cast(f"array<{HIT_TYPE}>")
 
 
-def _rule_hits(
-    text: Column, lowered: Column, found: Column, rule: Rule, threshold: float
-) -> Column:
-    """Scored hits of one rule from the matches of its pattern."""
-    plain, boosted = -round(rule.plain_score, 4), -round(rule.context_score, 4)
-    keywords = any_of([k.lower() for k in rule.keywords]) if boosted != plain else None
-
-    def hit(m: Column, keyword_in_chunk: Column | None) -> Column:
-        end = m["start"] + F.length(m["text"])
-        score = F.lit(plain)
-        if keyword_in_chunk is not None:
-            near = context_of(text, m["start"], end, CONTEXT_WINDOW).rlike(keywords)
-            score = F.when(keyword_in_chunk & near, F.lit(boosted)).otherwise(score)
-        return F.struct(
-            F.lit(rule.entity).alias("entity_type"),
-            m["start"].alias("start"),
-            score.alias("neg"),
-            F.lit(rule.number).alias("rule_no"),
-            end.alias("end"),
-            mask(m["text"]).alias("masked_value"),
-            F.lit(False).alias("edge"),
-        )
-
-    if rule.validator is not None:
-        found = F.filter(found, lambda m: rule.validator(m["text"]))
-    if keywords is None:
-        return F.transform(found, lambda m: hit(m, None))
-
-    # Most chunks hold no keyword at all, and one test per chunk tells.
-    def with_context(p: Column) -> Column:
-        return F.transform(p["found"], lambda m: hit(m, p["keyword"]))
+def _case(rule: Column, rules: Sequence[Rule], key, branch, otherwise: Column) -> Column:
+    """``CASE`` over the rule's index with one arm per distinct non-empty ``key``."""
+    arms: dict = {}
+    for i, r in enumerate(rules):
+        if key(r):
+            arms.setdefault(key(r), []).append(i)
+    out = F
+    for value, numbers in arms.items():
+        out = out.when(rule.isin(numbers), branch(value))
+    return out.otherwise(otherwise) if arms else otherwise
 
-    hits = let(
-        F.struct(
-            found.alias("found"),
-            F.when(F.size(found) > 0, lowered.rlike(keywords)).otherwise(False).alias("keyword"),
-        )
-        if rule.validator is None
-        else F.struct(found.alias("found"), lowered.rlike(keywords).alias("keyword")),
-        with_context,
-    )
-    if rule.plain_score < threshold:
-        hits = F.filter(hits, lambda h: h["neg"] == F.lit(boosted))
-    return hits
 
+def _per_rule(values: Sequence) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
-def _all_rule_hits(
-    text: Column, lowered: Column, rules: Sequence[Rule], threshold: float, found: Column
-) -> Column:
-    return F.concat(*[_rule_hits(text, lowered, found, r, threshold) for r in rules])
 
+def _matches(text: Column, rules: Sequence[Rule]) -> Column:
+    """Confirmed matches as ``array<struct<rule, start, text>>``; ``rule`` is an index.
 
-def chunk_hits(text: Column, rules: Sequence[Rule], threshold: float) -> Column:
-    """All hits of all rules in one chunk, before overlaps are removed."""
-    digit_run = f"[{to_java('[\\d]')[1:-1]}]{{4}}"
-
-    def body(t: Column, lowered: Column, has_digits: Column, has_at: Column) -> Column:
-        guards = {"digits": has_digits, "@": has_at}
-        pieces = []
-        # Rules that share a pattern share its pass over the text.
-        by_pattern = sorted(rules, key=lambda r: (r.pattern, r.number))
-        for _, same in groupby(by_pattern, key=lambda r: r.pattern):
-            group = list(same)
-            found = find_all(t, to_java(group[0].pattern, group[0].opens))
-
-            hits = let(found, partial(_all_rule_hits, t, lowered, group, threshold))
-            guard = guards.get(group[0].needs)
-            pieces.append(hits if guard is None else F.when(guard, hits).otherwise(_no_hits()))
-        return F.concat(*pieces) if pieces else _no_hits()
+    Rules that share a pattern share its pass over the text, and the part that turns
+    marked text into positions appears once in the plan, not once per rule.
+    """
+    digit_run = f"{to_java(r'\d')}{{4}}"
+
+    def marked(p: Column) -> Column:
+        guards = {"digits": p["digits"], "@": p["at"]}
+        by_pattern: dict[str, list[int]] = {}
+        for i, r in enumerate(rules):
+            by_pattern.setdefault(r.pattern, []).append(i)
+        passes = []
+        for numbers in by_pattern.values():
+            first = rules[numbers[0]]
+            parts = mark_matches(p["t"], to_java(first.pattern, first.opens))
+            if first.needs:
+                parts = F.when(guards[first.needs], parts)
+            passes.append(F.struct(_per_rule(numbers).alias("rules"), parts.alias("parts")))
+        return F.array(*passes)
 
     prepared = F.struct(
         without_mark(text).alias("t"),
-        F.lower(text).alias("low"),
         text.rlike(digit_run).alias("digits"),
         F.contains(text, F.lit("@")).alias("at"),
     )
-    return let(prepared, lambda p: body(p["t"], p["low"], p["digits"], p["at"]))
+    with_hits = F.filter(
+        let(prepared, marked), lambda x: F.coalesce(F.size(x["parts"]), F.lit(0)) > 1
+    )
+
+    def placed(x: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                x["rules"],
+                lambda rule: F.transform(
+                    locate(x["parts"]),
+                    lambda m: F.struct(
+                        rule.alias("rule"), m["start"].alias("start"), m["text"].alias("text")
+                    ),
+                ),
+            )
+        )
+
+    found = F.flatten(F.transform(with_hits, placed))
+    if all(r.validator is None for r in rules):
+        return found
+    return F.filter(
+        found,
+        lambda m: _case(
+            m["rule"], rules, lambda r: r.validator, lambda v: v(m["text"]), F.lit(True)
+        ),
+    )
+
+
+def chunk_hits(text: Column, rules: Sequence[Rule], threshold: float) -> Column:
+    """All scored hits of all rules in one chunk, before overlaps are removed."""
+    if not rules:
+        return _no_hits()
+    # Confidences are negated so that the better hit sorts first.
+    plain = [-round(r.plain_score, 4) if r.plain_score >= threshold else None for r in rules]
+    boosted = [-round(r.context_score, 4) for r in rules]
+    words = [k for r in rules for k in r.keywords]
+
+    def near_keyword(rule: Column, context: Column) -> Column:
+        return _case(
+            rule,
+            rules,
+            lambda r: r.keywords,
+            lambda ks: contains_any(context, ks),
+            F.lit(False),
+        )
+
+    def hits(matches: Column, any_keyword: Column | None) -> Column:
+        def hit(m: Column) -> Column:
+            end = m["start"] + F.length(m["text"])
+            score = _per_rule(plain).cast("array<double>")[m["rule"]]
+            if any_keyword is not None:
+                near = let(
+                    context_of(text, m["start"], end, CONTEXT_WINDOW),
+                    lambda context: near_keyword(m["rule"], context),
+                )
+                score = F.when(any_keyword & near, _per_rule(boosted)[m["rule"]]).otherwise(score)
+            return F.struct(
+                _per_rule([r.entity for r in rules])[m["rule"]].alias("entity_type"),
+                m["start"].alias("start"),
+                score.alias("neg"),
+                m["rule"].alias("rule_no"),
+                end.alias("end"),
+                mask(m["text"]).alias("masked_value"),
+                F.lit(False).alias("edge"),
+            )
+
+        scored = F.transform(matches, hit)
+        return F.filter(scored, lambda h: h["neg"].isNotNull()) if None in plain else scored
+
+    if not words:
+        return hits(_matches(text, rules), None)
+    # Most chunks hold no keyword at all, and one test per chunk with matches tells.
+    return let(
+        _matches(text, rules),
+        lambda m: let(
+            F.when(F.size(m) > 0, contains_any(F.lower(text), words)).otherwise(False),
+            lambda any_keyword: hits(m, any_keyword),
+        ),
+    )
 
 
 def drop_overlaps(hits: Column) -> Column:
@@ -191,13 +234,16 @@ def findings_of(text: Column, params: ScanParams | None = None) -> Column:
 
 
 def scan_rows(df: DataFrame, text_col: str, params: ScanParams | None = None) -> DataFrame:
-    """``df`` with its text replaced by ``total_chars`` and ``findings`` (an array)."""
-    return df.withColumns(
-        {
-            "total_chars": F.coalesce(F.length(text_col), F.lit(0)),
-            "findings": findings_of(F.col(text_col), params),
-        }
-    ).drop(text_col)
+    """``df`` with its text replaced by ``total_chars`` and ``findings`` (an array).
+
+    The two leave as the output of a generator with exactly one row: filters on them stay
+    above it, where a plain projection would let them push a second scan into the filter.
+    """
+    result = F.struct(
+        F.coalesce(F.length(text_col), F.lit(0)).alias("total_chars"),
+        findings_of(F.col(text_col), params).alias("findings"),
+    )
+    return df.select(*[c for c in df.columns if c != text_col], F.inline(F.array(result)))
 
 
 def scan(

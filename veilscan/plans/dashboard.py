@@ -13,7 +13,7 @@ def stats(scan_results: DataFrame, findings: DataFrame) -> DataFrame:
     files = scan_results.agg(
         F.count("*").alias("scanned_count"), F.max("last_scanned").alias("last_activity")
     )
-    return files.join(findings.agg(F.count("*").alias("findings_count")))
+    return files.withColumn("findings_count", findings.agg(F.count("*")).scalar())
 
 
 def flagged(scan_results: DataFrame, findings: DataFrame) -> DataFrame:
@@ -54,4 +54,4 @@ def overview(scan_results: DataFrame, findings: DataFrame) -> DataFrame:
         F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high"),
     )
-    return scan_results.agg(F.count("*").alias("total_files_scanned")).join(files)
+    return files.withColumn("total_files_scanned", scan_results.agg(F.count("*")).scalar())

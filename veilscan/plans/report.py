@@ -232,9 +232,9 @@ def document_lines(
     Files become one line each and stay distributed; only the totals form a single row.
     """
     totals = entity_totals(results).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "entity_type", "n"))).alias("t")
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "entity_type", "n")))
     )
-    head = summary(results).join(totals).select(
+    head = summary(results).withColumn("t", totals.scalar()).select(
         F.to_json(
             F.struct(
                 F.struct(

@@ -20,9 +20,9 @@ CONTEXT_WINDOW = 50
 class Rule:
     """One detector.
 
-    ``validator`` maps the column of matched digits to a boolean column. A hit it
-    does not confirm is dropped; a confirmed one gains ``VALIDATED_BOOST``. An Arrow
-    UDF fits here just as well as built-in functions do.
+    ``validator`` maps the column of matched text to a boolean column. A hit it does
+    not confirm is dropped; a confirmed one gains ``VALIDATED_BOOST``. It runs inside a
+    lambda, so it has to be built from Spark's own functions.
 
     ``opens`` is a class body of possible first characters, ``needs`` a cheap Spark
     test ('digits', '@' or None) that every text with a match passes. Both only save
