@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilscan.operators.risk import findings_of_results
 from veilscan.plans import report
+from veilscan.sources.workspace import save_table
 
 
 def report_name(now: datetime | None = None) -> str:
@@ -20,6 +21,7 @@ def write_json_report(
 ) -> str:
     """The report document as text parts; in name order they form one JSON document."""
     path = f"{folder}/{report_name()}.json"
+    results = save_table(results, "results")  # read several times below
     report.document_lines(results, folder_id, duration).select("line").write.text(path)
     return path
 
@@ -34,6 +36,7 @@ def write_tables(
     results: DataFrame, folder: str, folder_id: str = "root", duration: float = 0.0
 ) -> None:
     """Summary, flagged files and ledger, replacing those of the last run."""
+    results = save_table(results, "results")  # read several times below
     for name, table in (
         ("summary", report.summary_row(results, folder_id, duration)),
         ("flagged_files", report.flagged_table(results)),
@@ -43,7 +46,8 @@ def write_tables(
 
 
 def write_state_tables(results: DataFrame, folder: str) -> None:
-    """The two normalised state tables, findings laid out by file."""
+    """The two normalised state tables."""
+    results = save_table(results, "results")  # read twice below
     results.select(
         "file_id", "modified_time", "total_chars", "error", "last_scanned"
     ).write.mode("overwrite").parquet(f"{folder}/scan_results")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veilscan.functions.text import has_content
 from veilscan.operators.scan import scan_rows
@@ -51,7 +52,7 @@ def local_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_legacy(content: pd.Series) -> pd.Series:
     """Bytes that are not UTF-8: Korean charsets first, then one that never fails."""
 
@@ -68,7 +69,7 @@ def _decode_legacy(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _flatten_csv(text: pd.Series) -> pd.Series:
     """Cells of a row joined by blanks, rows by line ends; unreadable CSV gives ''."""
 
