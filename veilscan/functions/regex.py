@@ -17,9 +17,13 @@ DIGIT = r"\p{Nd}"
 # The letters that match [a-z] when Python ignores case.
 LETTER = r"A-Za-z\u0130\u0131\u017F\u212A"
 
-NOT_AFTER_WORD = f"(?<![{WORD}])"
+# Java steps back by whole characters only if it sees one beyond U+FFFF in the pattern
+# itself; this letter (U+10330) is a word character already and adds nothing else.
+WORD_BEFORE = WORD + "\U00010330"
+
+NOT_AFTER_WORD = f"(?<![{WORD_BEFORE}])"
 NOT_BEFORE_WORD = f"(?![{WORD}])"
-BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+BOUNDARY = f"(?:(?<=[{WORD_BEFORE}])(?![{WORD}])|(?<![{WORD_BEFORE}])(?=[{WORD}]))"
 
 _CLASSES = {"d": DIGIT, "s": SPACE, "w": WORD}
 

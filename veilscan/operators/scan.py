@@ -8,6 +8,7 @@ only per-file figures read them off the row as well.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,6 +234,17 @@ def findings_of(text: Column, params: ScanParams | None = None) -> Column:
     return F.when(has_content(text), findings).otherwise(F.array().cast(f"array<{FINDING_TYPE}>"))
 
 
+@lru_cache(maxsize=32)
+def _cached_findings(text_col: str, params: ScanParams, session: str) -> Column:
+    return findings_of(F.col(text_col), params)
+
+
+def _findings(df: DataFrame, text_col: str, params: ScanParams | None) -> Column:
+    """The scan expression, built once per session for each column and set of parameters."""
+    session = df.sparkSession.sparkContext.applicationId
+    return _cached_findings(text_col, params or ScanParams(), session)
+
+
 def scan_rows(df: DataFrame, text_col: str, params: ScanParams | None = None) -> DataFrame:
     """``df`` with its text replaced by ``total_chars`` and ``findings`` (an array).
 
@@ -241,7 +253,7 @@ def scan_rows(df: DataFrame, text_col: str, params: ScanParams | None = None) ->
     """
     result = F.struct(
         F.coalesce(F.length(text_col), F.lit(0)).alias("total_chars"),
-        findings_of(F.col(text_col), params).alias("findings"),
+        _findings(df, text_col, params).alias("findings"),
     )
     return df.select(*[c for c in df.columns if c != text_col], F.inline(F.array(result)))
 
@@ -251,6 +263,5 @@ def scan(
 ) -> DataFrame:
     """One row per finding: the id columns and the finding's fields."""
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    return df.select(
-        *ids, F.explode(findings_of(F.col(text_col), params)).alias("f")
-    ).select(*ids, "f.*")
+    found = F.explode(_findings(df, text_col, params)).alias("f")
+    return df.select(*ids, found).select(*ids, "f.*")
