@@ -27,10 +27,19 @@ def load_cache(spark: SparkSession, path: str) -> DataFrame:
     A file that is not valid JSON counts as an empty cache.
     """
     whole = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", f"map<string,{ENTRY_TYPE}>", STRICT)
+    entries = _parse(F.col("value"), f"map<string,{ENTRY_TYPE}>")
     return whole.select(F.explode(entries).alias("file_id", "e")).select("file_id", "e.*")
 
 
+def _parse(text: Column, schema: str) -> Column:
+    """One JSON value; NULL if anything but white space follows it.
+
+    Spark stops reading at the end of the value. Inside an array it has to go on.
+    """
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.get(F.from_json(listed, f"array<{schema}>", STRICT), 0)
+
+
 def _closing(window: Column) -> Column:
     """Length of the text up to the brace that closes the first one; NULL if none does.
 
@@ -49,7 +58,8 @@ def _closing(window: Column) -> Column:
             )
         )
 
-    parts = F.regexp_extract_all(window, F.lit("[^{}]*[{}]"), F.lit(0))
+    # Anchored and possessive: text without a further brace is given up at once.
+    parts = F.regexp_extract_all(window, F.lit(r"\G[^{}]*+[{}]"), F.lit(0))
     return F.aggregate(parts, zero, step, lambda acc: acc["end"])
 
 
@@ -124,7 +134,7 @@ def recover_entries(spark: SparkSession, path: str) -> DataFrame:
         "source",
         "k",
         file_id.alias("file_id"),
-        F.from_json(fragment, "map<string,map<string,string>>", STRICT).alias("m"),
+        _parse(fragment, "map<string,map<string,string>>").alias("m"),
     ).withColumn("fields", F.try_element_at("m", F.col("file_id")))
     get = lambda name: F.try_element_at("fields", F.lit(name))
     has_list = F.map_contains_key("fields", "findings")
