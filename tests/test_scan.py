@@ -7,7 +7,7 @@ from yardstick import scan_text
 
 from veilscan.functions import validators
 from veilscan.operators.dedup import dedup_intervals
-from veilscan.operators.scan import scan, scan_rows
+from veilscan.operators.scan import scan, scan_long_texts, scan_rows
 from veilscan.params import ScanParams
 from veilscan.rules import Rule
 
@@ -100,6 +100,16 @@ def test_long_text_with_hits_across_many_chunks(spark):
     assert spark_scan(spark, [text], params)[0] == scan_text(text, params)
 
 
+def test_long_texts_give_the_same_findings(spark):
+    rng = random.Random(9)
+    texts = ["".join(random_texts(300, rng, 50)) for _ in range(5)] + [" ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    params = ScanParams(chunk_size=200, chunk_overlap=120, confidence_threshold=0.3)
+    one, other = scan(df, "id", "text", params), scan_long_texts(df, "id", "text", params, 6)
+    assert one.columns == other.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+
+
 def test_blank_and_missing_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n　")], "id int, text string")
     assert scan(df, "id", "text").count() == 0

@@ -10,8 +10,20 @@ in four places that change results, so each is spelled out explicitly:
 
 from __future__ import annotations
 
+
+def _ranges(codes: list[int]) -> str:
+    """A character class body with runs of neighbours written as ranges."""
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
 # What Python's \\s matches, as the body of a Java character class.
-SPACE = "".join(f"\\x{{{i:X}}}" for i in range(0x3001) if chr(i).isspace())
+SPACE = _ranges([i for i in range(0x3001) if chr(i).isspace()])
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 # The letters that match [a-z] when Python ignores case.
@@ -82,8 +94,12 @@ def to_java(pattern: str, opens: str | None = None) -> str:
 
 
 def _boundary(pattern: str, at: int, opens: str | None) -> str:
-    if at == 0 and opens and all(part in ("\\d", "A-Z") for part in _parts(opens)):
-        return NOT_AFTER_WORD
+    if at == 0 and opens:
+        others = [p for p in _parts(opens) if p not in ("\\d", "A-Z", "_")]
+        if not others:
+            return NOT_AFTER_WORD
+        # Inside a word, which is where most positions are, one look behind is enough.
+        return f"(?:{NOT_AFTER_WORD}(?=[{WORD}])|(?=[{''.join(others)}])(?<=[{WORD_BEFORE}]))"
     # A pattern that ends in \b after a digit, a letter class or a counted repeat of
     # one needs only the look-ahead: the character before it is a word character.
     if at + 2 == len(pattern) and _ends_in_word(pattern[:at]):
@@ -96,7 +112,7 @@ def _parts(body: str) -> list[str]:
     while i < len(body):
         step = 2 if body[i] == "\\" else 3 if body[i + 1 : i + 2] == "-" else 1
         part = body[i : i + step]
-        parts.append("\\d" if part.isdigit() or part in ("0-9", "3-6", "0-2") else part)
+        parts.append("\\d" if part[0].isdigit() and part[-1].isdigit() else part)
         i += step
     return parts
 

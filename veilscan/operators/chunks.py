@@ -40,8 +40,8 @@ def chunk_array(text: Column, params: ScanParams) -> Column:
     n = F.length(text)
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast(CHUNK_TYPE))
-        .when(n <= size, short.cast(CHUNK_TYPE))
-        .otherwise(long.cast(CHUNK_TYPE))
+        .when(n <= size, short)
+        .otherwise(long)
     )
 
 

@@ -106,6 +106,20 @@ def active_users(users: DataFrame) -> DataFrame:
     )
 
 
+def visible_to(listing: DataFrame, users: DataFrame, fallback: str | None = None) -> DataFrame:
+    """Listings (``email, file_id, path, ...``) of the active users only.
+
+    Without any active user those of ``fallback`` remain. A user without a listing
+    simply contributes nothing.
+    """
+    chosen = active_users(users)
+    if fallback is not None:
+        nobody = chosen.agg(F.count("*")).scalar() == 0
+        alone = users.sparkSession.range(1).select(F.lit(fallback).alias("email")).where(nobody)
+        chosen = chosen.unionByName(alone)
+    return listing.join(chosen, "email", "left_semi")
+
+
 def union_listings(listings: Sequence[DataFrame]) -> DataFrame:
     """Listings of several users in order, each row tagged with its ``user_rank``."""
     ranked = [df.withColumn("user_rank", F.lit(i)) for i, df in enumerate(listings)]

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from veilscan.functions.regex import to_java
 from veilscan.functions.text import contains_any, context_of, has_content, let, mask
 from veilscan.operators.chunks import chunk_array
+from veilscan.operators.dedup import dedup_intervals
 from veilscan.operators.findall import locate, mark_matches, without_mark
 from veilscan.params import ScanParams
 from veilscan.rules import CONTEXT_WINDOW, Rule
+from veilscan.sources.workspace import save_table
 
 # Field order is the order of precedence: sorting hits sorts by entity and start first,
 # then the higher confidence, the earlier rule and the shorter hit.
@@ -197,7 +199,7 @@ def _placed(c: Column, hits: Column, params: ScanParams) -> Column:
             (h["end"] + c["off"]).alias("end"),
             h["masked_value"].alias("masked_value"),
             (reaches_back(h) | reaches_on(h)).alias("edge"),
-        ).cast(HIT_TYPE),
+        ),
     )
 
 
@@ -229,7 +231,7 @@ def findings_of(text: Column, params: ScanParams | None = None) -> Column:
             h["start"].alias("start"),
             h["end"].alias("end"),
             h["masked_value"].alias("masked_value"),
-        ).cast(FINDING_TYPE),
+        ),
     )
     return F.when(has_content(text), findings).otherwise(F.array().cast(f"array<{FINDING_TYPE}>"))
 
@@ -265,3 +267,39 @@ def scan(
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     found = F.explode(_findings(df, text_col, params)).alias("f")
     return df.select(*ids, found).select(*ids, "f.*")
+
+
+def scan_long_texts(
+    df: DataFrame, id_col: str, text_col: str, params: ScanParams | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """The findings of :func:`scan`, with the chunks of each text dealt out to all tasks.
+
+    For tables of few, very long texts, where a row is too much work for one task. Only
+    hits at chunk edges are shuffled by text; ids must be unique.
+    """
+    params = params or ScanParams()
+    rules = params.rules
+    pieces = df.where(has_content(F.col(text_col))).select(
+        id_col, F.posexplode(chunk_array(F.col(text_col), params)).alias("no", "c")
+    )
+    keys = [id_col, "no"]
+    dealt = pieces.repartition(partitions, *keys) if partitions else pieces.repartition(*keys)
+    per_chunk = _placed(
+        F.col("c"),
+        drop_overlaps(chunk_hits(F.col("c.t"), rules, params.confidence_threshold)),
+        params,
+    )
+    hits = save_table(
+        dealt.select(id_col, F.explode(per_chunk).alias("h")).select(id_col, "h.*"), "hits"
+    )
+    across = dedup_intervals(
+        hits.where("edge"), [id_col, "entity_type"], best_first=[F.col("neg"), F.col("rule_no")]
+    )
+    return (
+        hits.where("not edge")
+        .unionByName(across)
+        .select(
+            id_col, "entity_type", (-F.col("neg")).alias("confidence"), "start", "end", "masked_value"
+        )
+    )

@@ -11,7 +11,7 @@ from veilscan.functions import validators
 from veilscan.functions.regex import to_java
 from veilscan.functions.text import context_of, mask
 from veilscan.operators import chunks, dedup, findall, listing, resume, risk
-from veilscan.operators.scan import FINDING_TYPE, scan, scan_rows
+from veilscan.operators.scan import FINDING_TYPE, scan, scan_long_texts, scan_rows
 from veilscan.params import FOLDER_MIME, ScanParams
 from veilscan.plans import dashboard, report
 from veilscan.plans import oracle as sql
@@ -338,7 +338,7 @@ LETTER_SQL = (
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     order, cust = F.col("o_orderkey"), F.col("c_custkey")
 
     def number(value: Column, width: int | None = None) -> Column:
@@ -386,6 +386,13 @@ def _scan_documents_chunked(name: str, params: ScanParams) -> None:
 _scan_documents_chunked("scan_documents_small_chunks", ScanParams(chunk_size=1000, chunk_overlap=100))
 
 
+@register("scan_long_texts", _scan_sql(texts_sql("documents"), params=ScanParams(chunk_size=1000, chunk_overlap=100)))
+def scan_long_texts_(spark, sf_dir):
+    params = ScanParams(chunk_size=1000, chunk_overlap=100)
+    cores = spark.sparkContext.defaultParallelism
+    return scan_long_texts(texts(spark, sf_dir, "documents"), "file_id", "text", params, 2 * cores)
+
+
 @register(
     "dedup_intervals",
     with_ctes(
@@ -849,6 +856,44 @@ def cross_user_dedup(spark, sf_dir):
     return listing.first_listing_wins(user_listings(spark, sf_dir))
 
 
+def _visible(name: str, suspended: str, fallback: str | None, expected: str) -> None:
+    """Orders as files named after their date, listed by the customers who placed them."""
+
+    @register(
+        name,
+        "SELECT file_id, email, path FROM (SELECT *, row_number() OVER (PARTITION BY file_id"
+        " ORDER BY email, path) AS rn FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS file_id,"
+        " lower(c_name) || '@example.com' AS email, '/' || o_orderpriority || '/' || o_orderkey AS path"
+        f" FROM orders JOIN customer ON o_custkey = c_custkey WHERE {expected})) WHERE rn = 1",
+    )
+    def query(spark, sf_dir):
+        email = F.concat(F.lower("c_name"), F.lit("@example.com"))
+        customer = table(spark, sf_dir, "customer")
+        users = customer.select(
+            email.alias("primaryEmail"),
+            F.expr(suspended).alias("suspended"),
+            F.lit(None).cast("boolean").alias("archived"),
+        )
+        listed = (
+            table(spark, sf_dir, "orders")
+            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .select(
+                F.date_format("o_orderdate", "yyyy-MM-dd").alias("file_id"),
+                email.alias("email"),
+                F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("path"),
+            )
+        )
+        return listing.first_listing_wins(
+            listing.visible_to(listed, users, fallback), order=("email", "path")
+        )
+
+
+_visible("domain_listing", "c_acctbal < 0", None, "NOT c_acctbal < 0")
+_visible(
+    "domain_listing_fallback", "true", "customer#000000007@example.com", "c_name = 'Customer#000000007'"
+)
+
+
 # --- incremental state --------------------------------------------------------------
 
 # The cache knows the labelled documents; a good label means the same version.

@@ -10,7 +10,7 @@ from veilscan.functions.regex import SPACE
 from veilscan.operators.findall import MARK, without_mark
 from veilscan.operators.resume import newest
 from veilscan.operators.scan import FINDING_TYPE
-from veilscan.sources.workspace import save_table
+from veilscan.sources.workspace import save_table, spread
 
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
 ENTRY_TYPE = f"struct<modified_time:string,total_chars:int,findings:{FINDINGS_TYPE},error:string>"
@@ -120,13 +120,14 @@ def recover_entries(spark: SparkSession, path: str) -> DataFrame:
     total_chars, error, findings``. Outcomes: ``recovered``; ``no_findings`` (entry
     stored, but its findings are unreadable); ``empty``; ``skipped``.
     """
-    pieces = save_table(_pieces(spark, path), "pieces")
-    closed = pieces.withColumn("end", _closing(F.col("piece")))
+    # One task reads a file; the work on its entries is dealt out to all.
+    pieces = _pieces(spark, path).repartition("source", "k")
+    closed = spread(save_table(pieces.withColumn("end", _closing(F.col("piece"))), "pieces"))
     # A piece cut off by the next entry may still close further on.
     unclosed = closed.where(F.col("end").isNull() & (F.col("n") < ENTRY_WINDOW))
     rest = closed.where(F.col("end").isNotNull() | (F.col("n") >= ENTRY_WINDOW))
     windows = rest.select("source", "k", F.col("piece").alias("window"), "end").unionByName(
-        _stitched(pieces, unclosed).withColumn("end", _closing(F.col("window")))
+        _stitched(closed, unclosed).withColumn("end", _closing(F.col("window")))
     )
     fragment = F.concat(F.lit("{"), F.expr("left(window, end)"), F.lit("}"))
     file_id = F.regexp_extract("window", '^"([^"]*)"', 1)
