@@ -33,9 +33,21 @@ def files_to_scan(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(_usable(cache, ()), ["file_id", "modified_time"], "left_anti")
 
 
+def pick_changed(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Texts whose newest version is not among ``known`` (``file_id, modified_time``).
+
+    The choice is made on keys alone. Texts meet only the keys chosen: where few have
+    changed these are small enough to be broadcast, and no text is shuffled.
+    """
+    versions = newest(texts.select("file_id", "modified_time"), ["file_id"], F.col("modified_time"))
+    return texts.join(files_to_scan(versions, known), ["file_id", "modified_time"], "left_semi")
+
+
 def newest(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Last row per key. Older ones are dropped map-side, before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
+    if len(rest) == 1:
+        return rows.groupBy(*keys).agg(F.max_by(rest[0], order).alias(rest[0])).select(*rows.columns)
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_b"))
     return best.select(
         *[F.col(c) if c in keys else F.col("_b")[c].alias(c) for c in rows.columns]

@@ -478,10 +478,15 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return save_table(document_results(spark, sf_dir), "results")
 
 
-def _report(name: str, select: str, build: Callable[[DataFrame], DataFrame]) -> None:
+def _report(
+    name: str, select: str, build: Callable[[DataFrame], DataFrame], stored: bool = False
+) -> None:
+    """A report over all documents. Sorted ones sample their input first, so they read
+    stored results: otherwise every text would be scanned twice."""
+
     @register(name, with_ctes(RESULT_CTES, select))
     def query(spark, sf_dir):
-        return build(document_results(spark, sf_dir))
+        return build((stored_results if stored else document_results)(spark, sf_dir))
 
 
 ENTITY_N = ", ".join(
@@ -547,6 +552,7 @@ _report(
     f" CAST(total_findings AS INT) AS total_findings, {ENTITY_N}, modified_time"
     " FROM results r WHERE status = 'flagged'",
     report.flagged_table,
+    stored=True,
 )
 LEDGER_SELECT = (
     f"SELECT file_id, file_name, file_path, owner, {FINDING_COLUMNS}"
@@ -589,6 +595,7 @@ _report(
         ),
     )
     .drop("findings", "entity_breakdown"),
+    stored=True,
 )
 ICON_SQL = "CASE risk_level " + " ".join(
     f"WHEN '{level}' THEN '{icon}'" for level, icon in risk.RISK_ICONS.items()
@@ -611,6 +618,7 @@ _report(
         ),
     )
     .drop("entity_summary"),
+    stored=True,
 )
 _report(
     "scan_verdict",
@@ -630,6 +638,7 @@ _report(
     " FROM all_findings JOIN results USING (file_id) WHERE status = 'flagged' UNION ALL "
     "SELECT risk_score, file_id, total_findings + 2, '' FROM results WHERE status = 'flagged')",
     report.log_lines,
+    stored=True,
 )
 
 
@@ -929,6 +938,17 @@ def cache_split_hits(spark, sf_dir):
     return hits.select("file_id", "file_path", "modified_time", "total_chars", "error")
 
 
+@register(
+    "cache_split_keys",
+    f"SELECT f.file_id, f.modified_time, f.owner FROM ({FILES_SQL}) f WHERE NOT EXISTS"
+    f" (SELECT 1 FROM ({CACHE_SQL}) c WHERE f.file_id = c.file_id AND f.modified_time = c.modified_time)",
+)
+def cache_split_keys(spark, sf_dir):
+    listed = document_files(spark, sf_dir).drop("text")
+    misses = resume.files_to_scan(listed, document_cache(spark, sf_dir))
+    return misses.select("file_id", "modified_time", "owner")
+
+
 MISSES_SQL = (
     f"SELECT f.* FROM ({FILES_SQL}) f WHERE NOT EXISTS (SELECT 1 FROM ({CACHE_SQL}) c"
     " WHERE f.file_id = c.file_id AND f.modified_time = c.modified_time)"
@@ -940,7 +960,7 @@ MISSES_SQL = (
     f"SELECT file_id, file_path, modified_time, CAST(total_chars AS INT) AS total_chars FROM ({MISSES_SQL})",
 )
 def cache_split_misses(spark, sf_dir):
-    misses = resume.files_to_scan(document_files(spark, sf_dir), document_cache(spark, sf_dir))
+    misses = resume.pick_changed(document_files(spark, sf_dir), document_cache(spark, sf_dir))
     return misses.select(
         "file_id", "file_path", "modified_time", F.length("text").alias("total_chars")
     )
@@ -964,7 +984,7 @@ def cache_split_misses(spark, sf_dir):
 def merged_results(spark, sf_dir):
     listed, known = document_files(spark, sf_dir), document_cache(spark, sf_dir)
     reused = resume.cached_results(listed.drop("text"), known)
-    fresh = scan_rows(resume.files_to_scan(listed, known), "text").withColumn(
+    fresh = scan_rows(resume.pick_changed(listed, known), "text").withColumn(
         "error", F.lit(None).cast("string")
     )
     return reused.unionByName(fresh).select(

@@ -3,7 +3,8 @@
 ``results`` has one row per file: ``file_id, file_name, file_path, owner, mime_type,
 modified_time, total_chars, findings, error``. Every table here reads it once and
 aggregates or sorts; nothing is gathered on the driver. Store results first when more
-than one table is wanted, so that texts are scanned once.
+than one table is wanted, or a sorted one (a sort samples its input before it reads it),
+so that texts are scanned once.
 """
 
 from __future__ import annotations

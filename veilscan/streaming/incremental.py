@@ -13,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from veilscan.functions.text import has_content
-from veilscan.operators.resume import newest
+from veilscan.operators.resume import pick_changed
 from veilscan.operators.risk import has_error
 from veilscan.operators.scan import scan_rows
 from veilscan.params import ScanParams
@@ -49,10 +49,7 @@ def scan_batch(
     ``batch`` has ``file_id, modified_time, text`` and any file metadata. Only state of
     earlier batches decides what has changed, so a replay repeats the first outcome.
     """
-    latest = newest(batch, ["file_id"], F.col("modified_time"))
-    changed = latest.join(
-        state.versions(before=batch_id), ["file_id", "modified_time"], "left_anti"
-    )
+    changed = pick_changed(batch, state.versions(before=batch_id))
     error = F.when(~has_content(F.col("text")), F.lit(NO_TEXT))
     state.write_batch(scan_rows(changed.withColumn("error", error), "text", params), batch_id)
 
