@@ -109,6 +109,16 @@ def test_matches_and_places_agree_with_python(spark):
             assert sorted(got.get(i, [])) == want, (rule.number, text)
 
 
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(4)
+    texts = ["x" * n for n in (0, 511, 512, 513)] + ["".join(rng.choice("ab é") for _ in range(n)) for n in (900, 9000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    for pattern in (r"b", r"a+", r"\bb"):
+        found = findall.find_positions(df, "i", "v", to_java(pattern)).collect()
+        want = [(i, *m.span()) for i, t in enumerate(texts) for m in re.finditer(pattern, t)]
+        assert sorted((r.i, r.start, r.end) for r in found) == want
+
+
 def test_custom_patterns_keep_case_folding_and_boundaries(spark):
     texts = ["Code-12 CODE-7, xcode-9 code-1é", "ÀB", "code-٣"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
