@@ -1166,7 +1166,22 @@ def mime_dispatch(spark, sf_dir):
     )
 
 
-@register("extract_and_scan_files")
+@register(
+    "extract_and_scan_files",
+    with_ctes(
+        sql.scan_ctes("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE lang <> 'de'")
+        + ", risk AS (SELECT id, max(confidence) AS top, count(*) AS n FROM findings GROUP BY id)",
+        "SELECT file_id, mime_type, error, total_chars, risk_score, total_findings, "
+        + sql.level_sql("risk_score")
+        + " AS risk_level, CASE WHEN error IS NOT NULL THEN 'error' WHEN total_findings > 0"
+        " THEN 'flagged' ELSE 'clean' END AS status FROM (SELECT f.file_id, f.mime_type,"
+        f" CASE WHEN digest IS NULL THEN '{files.NO_TEXT}' END AS error,"
+        " CAST(CASE WHEN digest IS NULL THEN 0 ELSE length(d.text) END AS INT) AS total_chars,"
+        " coalesce(top, 0.0) AS risk_score, CAST(coalesce(n, 0) AS INT) AS total_findings"
+        f" FROM ({EXTRACT_SELECT}) f JOIN documents d ON f.file_id = CAST(d.doc_id AS VARCHAR)"
+        " LEFT JOIN risk ON f.file_id = risk.id)",
+    ),
+)
 def extract_and_scan_files(spark, sf_dir):
     results = files.scan_files(_as_content(spark, sf_dir))
     return risk.with_risk(results).drop("findings", "entity_summary")
