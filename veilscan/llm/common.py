@@ -71,7 +71,7 @@ def by_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     return run
 
 
-def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts take about ``limit`` bytes together, one row at least."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(sizes)])
