@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import decontaminate, language, pieces, secrets, tokens
+from veilscan.llm import chat, decontaminate, language, pieces, secrets, tokens, warc
 from veilscan.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,22 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op8_archives"] = warc.ROUND_TRIP_SQL
+
+
+@query
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.listed(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_perspectives"] = chat.LISTED_SQL
+
+
 @query
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
