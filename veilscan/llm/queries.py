@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import chat, decontaminate, language, ngram_join, pieces, secrets, tokens, warc
+from veilscan.llm import chat, decontaminate, language, ngram_join, pieces, secrets, tokens, topk, warc
 from veilscan.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_twentieth(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_top_k"] = topk.EVERY_TWENTIETH_SQL
+
+
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
