@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import chat, decontaminate, language, ngram_join, pieces, secrets, tokens, topk, warc
+from veilscan.llm import chat, decontaminate, html, language, ngram_join, pieces, secrets, tokens, topk, warc
 from veilscan.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 @query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digests(read(spark, sf_dir, "documents"))
