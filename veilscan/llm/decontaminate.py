@@ -179,8 +179,8 @@ def searcher(held, at: int, kept: int, names: list[str], shard_bytes: int):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold any test phrase."""
-    columns = docs.columns
-    return contamination(docs, benchmark).where(F.size("runs") == 0).select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return contamination(rows, benchmark).where(F.size("runs") == 0).select("row.*")
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -236,6 +236,12 @@ def learned(docs: DataFrame) -> Model | None:
     return fit(docs.where(fold() != 0).select("lang", "text", F.col("doc_id").alias("key")))
 
 
+def known(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows in no language (no text, or no letter in it)."""
+    rows = identify(docs.select(F.struct("*").alias("row"), "text"), learned(docs))
+    return rows.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+
 def predictions(docs: DataFrame) -> DataFrame:
     """Per document: whether it is held out (false without an id), its language and the score."""
     done = identify(docs.select("doc_id", "text"), learned(docs))
