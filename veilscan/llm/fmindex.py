@@ -17,7 +17,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     key = np.zeros(n, dtype=np.int64)
     for j in range(reach):
         key <<= bits
-        key[: n - j] |= s[j:] + 1
+        if j < n:
+            key[: n - j] |= s[j:] + 1
     sa = np.argsort(key, kind="stable")
     ordered = key[sa]
     new = np.ones(n, dtype=bool)  # whether a group of equal prefixes starts at this row

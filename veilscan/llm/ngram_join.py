@@ -9,7 +9,9 @@ Documents are rows, n-grams columns. Only pairs that can reach the threshold are
    ``size - ceil(threshold * size) + 1`` ones of both rows. These columns are multiplied first: they alone
    make pairs. Rows of equal sets are one class and take part once.
 3. *Pivots.* A column that many rows share does not make all their pairs. Its row with the fewest rare
-   columns is its pivot; all others are paired with it. Pairs whose sizes are too far apart are dropped.
+   columns is its pivot; all others are paired with it. Dropped at once are pairs whose sizes are too far
+   apart, or whose places say that too many columns are left out if this is the first that both have (if
+   it is not, the pair belongs to an earlier column). What is left is counted over the first block.
 4. *Further blocks.* The overlap of each pair is accumulated over blocks of columns; a pair whose count
    plus the columns left in the shorter row falls below the bound of its sizes is dropped at once.
 5. *Next round.* Linked rows form components. Columns whose rows are all in one component are done; others
@@ -201,37 +203,79 @@ def in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
-def pivots(columns: DataFrame) -> DataFrame:
-    """Rows of each column but its pivot, with the pivot: ``col, rare, class, size, p_class, p_size``.
+def pivots(columns: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of each column but its pivot: ``col, rare, class, size, place, pivot``.
 
+    ``pivot`` is the pivot's class, null where the two cannot reach the threshold by way of this column.
     Columns come sorted, so a task holds one batch and the pivot of the column it is at.
     """
 
     def run(batches):
-        last = None  # (col, class of the last row, pivot's class and size)
+        last = None  # (col, class of the last row, pivot's class, size and place)
         for batch in batches:
-            col, rare, cls, size = (batch.column(i).to_numpy() for i in range(4))
+            col, rare, cls, size, place = (batch.column(i).to_numpy() for i in range(5))
             if not len(col):
                 continue
             new = np.ones(len(col), dtype=bool)
             new[1:] = col[1:] != col[:-1]
             same = np.zeros(len(col), dtype=bool)  # a class again, from another task
             same[1:] = ~new[1:] & (cls[1:] == cls[:-1])
-            goes_on = last is not None and last[0] == col[0]
-            if goes_on:
+            if goes_on := last is not None and last[0] == col[0]:
                 new[0], same[0] = False, cls[0] == last[1]
             at = np.maximum.accumulate(np.where(new, np.arange(len(col)), -1))
-            p_class, p_size = cls[np.maximum(at, 0)], size[np.maximum(at, 0)]
+            pivot = [x[np.maximum(at, 0)] for x in (cls, size, place)]
             if goes_on:
-                p_class[at < 0], p_size[at < 0] = last[2], last[3]
-            last = (col[-1], cls[-1], p_class[-1], p_size[-1])
+                for x, value in zip(pivot, last[2:], strict=True):
+                    x[at < 0] = value
+            last = (col[-1], cls[-1], *(x[-1] for x in pivot))
+            ok = (num * np.maximum(size, pivot[1]) <= den * np.minimum(size, pivot[1])) & (
+                np.minimum(size - place, pivot[1] - pivot[2]) * (num + den) >= num * (size + pivot[1])
+            )
             kept = ~new & ~same
+            rows = [pa.array(x[kept]) for x in (col, rare, cls, size, place)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[kept]) for x in (col, rare, cls, size, p_class, p_size)], names=["col", "rare", "class", "size", "p_class", "p_size"]
+                [*rows, pa.array(pivot[0][kept], mask=~ok[kept])], names=["col", "rare", "class", "size", "place", "pivot"]
             )
 
-    ordered = columns.repartition("col").sortWithinPartitions("col", "rare", "class").select("col", "rare", "class", "size")
-    return ordered.mapInArrow(run, "col long, rare long, class long, size long, p_class long, p_size long")
+    ordered = columns.repartition("col").sortWithinPartitions("col", "rare", "class").select("col", "rare", "class", "size", "place")
+    return ordered.mapInArrow(run, "col long, rare long, class long, size long, place int, pivot long")
+
+
+def promising(pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that may reach the threshold by what they share in the first block.
+
+    Up to the place where the shorter of both heads ends, all shared columns are known; beyond it
+    at most the rest of the shorter row is shared.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                (xs, nx), (ys, ny) = lists_of(batch.column(2)), lists_of(batch.column(5))
+                sx, rx, sy, ry = (batch.column(i).to_numpy() for i in (3, 4, 6, 7))
+                row = [np.repeat(np.arange(len(n)), n) for n in (nx, ny)]
+                # Keys in the order of columns: rare ones first, then by hash.
+                key = []
+                for v, n, r in ((xs, nx, rx), (ys, ny, ry)):
+                    place = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
+                    key.append((v >> np.uint64(1)) | ((place >= np.repeat(r, n)).astype(np.uint64) << np.uint64(63)))
+                end = np.minimum(key[0][np.cumsum(nx) - 1], key[1][np.cumsum(ny) - 1])
+                shared = shared_in(np.concatenate(row), np.concatenate(key), len(nx))
+                left = [s - np.bincount(i[k <= end[i]], minlength=len(nx)) for s, i, k in zip((sx, sy), row, key, strict=True)]
+                ok = (shared + np.minimum(*left)) * (num + den) >= num * (sx + sy)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in range(2)], names=["a", "b"])
+
+    left, right = (first.select(F.col("class").alias(c), F.struct("head", "size", "rare").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x.*", F.col("y.head").alias("h"), F.col("y.size").alias("s"), F.col("y.rare").alias("r"))
+    return both.mapInArrow(run, "a long, b long")
+
+
+def shared_in(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """How many keys each row has twice."""
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    return np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (keys[1:] == keys[:-1])], minlength=n)
 
 
 def class_filter(classes: DataFrame) -> np.ndarray:
@@ -313,12 +357,7 @@ def overlaps(x: tuple, y: tuple, num: int, den: int) -> np.ndarray:
     block_x, block_y = (v >> np.uint64(64 - BLOCKS.bit_length() + 1) for v in (xs, ys))
     for block in range(BLOCKS):
         in_x, in_y = (block_x == block) & alive[row_x], (block_y == block) & alive[row_y]
-        rows = np.concatenate([row_x[in_x], row_y[in_y]])
-        grams = np.concatenate([xs[in_x], ys[in_y]])
-        order = np.lexsort((grams, rows))
-        rows, grams = rows[order], grams[order]
-        shared = (rows[1:] == rows[:-1]) & (grams[1:] == grams[:-1])
-        count += np.bincount(rows[1:][shared], minlength=len(nx))
+        count += shared_in(np.concatenate([row_x[in_x], row_y[in_y]]), np.concatenate([xs[in_x], ys[in_y]]), len(nx))
         rest_x -= np.bincount(row_x[in_x], minlength=len(nx))
         rest_y -= np.bincount(row_y[in_y], minlength=len(nx))
         alive &= count + np.minimum(rest_x, rest_y) >= need
@@ -344,39 +383,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def reachable(size, place, size2, place2, num: int, den: int):
+    """Whether two rows can reach the threshold if they first meet at these places."""
+    size, place, size2, place2 = (F.col(c) for c in (size, place, size2, place2))
+    near = num * F.greatest(size, size2) <= den * F.least(size, size2)
+    return near & (F.least(size - place, size2 - place2) * (num + den) >= num * (size + size2))
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, size, component_id``, one row per input row; linked if den * overlap >= num * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = store(heads(docs, n, num, den, frequent_buckets(docs, n)), "heads")
-    columns = rows.where("head is not null").select("rare", "class", "size", F.explode("head").alias("col"))
-    open_ = store(pivots(columns), "columns")
-    bound = lambda x, y: num * F.greatest(x, y) <= den * F.least(x, y)
-    sets, labels = None, None
+    first = rows.where("head is not null").select("class", "size", "rare", "head")
+    open_ = store(pivots(first.select("rare", "class", "size", F.posexplode("head").alias("place", "col")), num, den), "columns")
+    first = first.groupBy("class").agg(F.first("head").alias("head"), F.first("size").alias("size"), F.first("rare").alias("rare"))
+    labels = None
     for round_ in range(ROUNDS + 1):
         if round_ == 0:
-            active = open_.select("class").union(open_.select("p_class")).distinct()
-            sets = store(sets_of(docs, n, active), "sets")
-            pairs = open_.where(bound(F.col("p_size"), F.col("size"))).select(F.col("p_class").alias("a"), F.col("class").alias("b"))
+            pairs = open_.where("pivot is not null").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
         else:
             # Where each row is now; columns within one component are done.
             now = open_.join(labels.withColumnRenamed("node", "class"), "class", "left")
-            now = now.select("col", "rare", "class", "size", F.coalesce("comp", "class").alias("comp"))
-            group = now.groupBy("col").agg(
-                F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.min(F.struct("rare", "class", "size", "comp")).alias("p")
-            )
-            group = group.where("low <> high").select("col", "n", F.col("p.class").alias("p_class"), F.col("p.size").alias("p_size"), F.col("p.comp").alias("p_comp"))
-            now = store(now.join(group, "col"), "columns")
+            now = now.select("col", "rare", "class", "size", "place", F.coalesce("comp", "class").alias("comp"))
+            pivot = F.min(F.struct("rare", "class", "size", "place", "comp")).alias("p")
+            group = now.groupBy("col").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), pivot)
+            now = store(now.join(group.where("low <> high").select("col", "n", "p"), "col"), "columns")
             if now.isEmpty():
                 break
             small = now if round_ == ROUNDS else now.where(F.col("n") <= SMALL)
             large = now.where("false") if round_ == ROUNDS else now.where(F.col("n") > SMALL)
             x, y = small.alias("x"), small.alias("y")
             both = (F.col("x.col") == F.col("y.col")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp"))
-            direct = x.join(y, both & bound(F.col("x.size"), F.col("y.size"))).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-            star = large.where((F.col("comp") != F.col("p_comp")) & bound(F.col("p_size"), F.col("size")))
-            pairs = direct.union(star.select("p_class", "class"))
-            open_ = large.where(F.col("class") != F.col("p_class")).select("col", "rare", "class", "size")
-        links = store(verified(pairs.distinct(), sets, num, den), "links")
+            direct = x.join(y, both & reachable("x.size", "x.place", "y.size", "y.place", num, den))
+            direct = direct.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+            star = large.where((F.col("comp") != F.col("p.comp")) & reachable("p.size", "p.place", "size", "place", num, den))
+            pairs = direct.union(star.select("p.class", "class"))
+            open_ = large.where(F.col("class") != F.col("p.class")).select("col", "rare", "class", "size", "place")
+        pairs = store(promising(pairs.distinct(), first, num, den), "pairs")
+        sets = sets_of(docs, n, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        links = store(verified(pairs, sets, num, den), "links")
         if labels is None:
             labels = components(links)
         else:
