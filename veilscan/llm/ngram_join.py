@@ -37,7 +37,7 @@ from veilscan.llm.common import byte_slices, list_column, store
 
 FREQUENT = 64
 SMALL = 64
-ROUNDS = 8
+ROUNDS = 3
 #: At most so many frequent buckets are kept (the most frequent ones) and sent to all tasks.
 MOST_BUCKETS = 1 << 21
 BUCKET_BITS = 36
@@ -420,11 +420,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
             pairs = direct.union(star.select("p.class", "class"))
             open_ = large.where(F.col("class") != F.col("p.class")).select("col", "rare", "class", "size", "place")
         pairs = store(promising(pairs.distinct(), first, num, den), "pairs")
+        if labels is not None and pairs.isEmpty():
+            continue
         sets = sets_of(docs, n, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
         links = store(verified(pairs, sets, num, den), "links")
         if labels is None:
             labels = components(links)
-        else:
+        elif not links.isEmpty():
             # Only components are linked anew; their old labels lead to the new ones.
             moved = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(
                 labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left"
