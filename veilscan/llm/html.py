@@ -115,7 +115,12 @@ class Builder:
         self.push(Node(tag, attrs))
 
     def end_tag(self, tag: str) -> None:
-        self.end({tag}, set() if tag in ("table", "body", "html") else {"table"} if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else SCOPES - {tag})
+        if tag in ("table", "body", "html"):
+            self.end({tag}, set())
+        elif tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption"):
+            self.end({tag}, {"table"})
+        else:  # inline elements do not end blocks inside them
+            self.end({tag}, SCOPES - {tag} if tag in BLOCK else SCOPES | BLOCK)
 
 
 def attributes(text: str, at: int) -> tuple[dict[str, str], int]:
