@@ -120,7 +120,7 @@ class Builder:
         elif tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption"):
             self.end({tag}, {"table"})
         else:  # inline elements do not end blocks inside them
-            self.end({tag}, SCOPES - {tag} if tag in BLOCK else SCOPES | BLOCK)
+            self.end({tag}, SCOPES - {tag} if tag in BLOCK or tag in ("select", "button") else SCOPES | BLOCK)
 
 
 def attributes(text: str, at: int) -> tuple[dict[str, str], int]:

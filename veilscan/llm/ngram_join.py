@@ -42,7 +42,7 @@ ROUNDS = 3
 MOST_BUCKETS = 1 << 21
 BUCKET_BITS = 36
 #: n-grams that a task sorts and sends at once.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bits of the filter that tells which sets are asked for.
 FILTER_BITS = 27
 BLOCKS = 4
@@ -50,25 +50,43 @@ BLOCKS = 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+#: Bytes that separate words, and a random number for every other byte, A-Z as a-z.
+SEPARATORS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+NUMBERS = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+NUMBERS[65:91] = NUMBERS[97:123]
+#: Texts of so many bytes are hashed at once.
+SLICE = 1 << 20
 
 
 class Shingler:
     """Sets of n-gram hashes, sorted, of whole texts."""
 
     def __init__(self, n: int):
-        self.n, self.words = n, _WordHashes()
+        self.n = n
+        self.powers = self.inverses = np.ones(0, dtype=np.uint64)
+
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of every word of all texts in turn, and how many words each text has.
+
+        A word's hash is the sum of its bytes' numbers times powers of the multiplier, taken from
+        running sums over all bytes at once.
+        """
+        data = [t.encode() if t else b"" for t in texts]
+        buffer = np.frombuffer(b"\n".join([*data, b""]), dtype=np.uint8)
+        if len(buffer) > len(self.powers):
+            size = max(len(buffer), 2 * SLICE)
+            self.powers, self.inverses = (np.cumprod(np.full(size, x, dtype=np.uint64)) for x in (MULTIPLIER, INVERSE))
+        change = np.diff(SEPARATORS[buffer].astype(np.int8), prepend=np.int8(1))
+        starts, ends = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
+        running = np.zeros(len(buffer) + 1, dtype=np.uint64)
+        np.cumsum(NUMBERS[buffer] * self.powers[: len(buffer)], out=running[1:])
+        hashes = mixed((running[ends] - running[starts]) * self.inverses[starts])
+        text_ends = np.cumsum([len(d) + 1 for d in data])
+        return hashes, np.bincount(np.searchsorted(text_ends, starts, side="right"), minlength=len(texts))
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > 500_000:
-            self.words.clear()
-        docs = [t.encode().lower().split() if t else [] for t in texts]
-        lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        get = self.words.__getitem__
-        w = np.fromiter((h for d in docs for h in map(get, d)), dtype=np.uint64, count=int(lengths.sum()))
+        w, lengths = self.words(texts)
         h = np.zeros(max(0, len(w) - self.n + 1), dtype=np.uint64)
         for j in range(self.n):
             h = h * MULTIPLIER + w[j : j + len(h)]
@@ -76,15 +94,16 @@ class Shingler:
         out, at = [], 0
         for n in lengths.tolist():
             if n >= self.n:
-                own = h[at : at + n - self.n + 1]
+                own = np.sort(h[at : at + n - self.n + 1])
+                own = own[np.append(True, own[1:] != own[:-1])]
             elif n:  # the whole sequence as one
-                one = np.full(1, n, dtype=np.uint64)
+                own = np.full(1, n, dtype=np.uint64)
                 for j in range(at, at + n):
-                    one = one * MULTIPLIER + w[j : j + 1]
-                own = mixed(one)
+                    own = own * MULTIPLIER + w[j : j + 1]
+                own = mixed(own)
             else:
                 own = h[:0]
-            out.append(np.unique(own))
+            out.append(own)
             at += n
         return out
 
@@ -137,7 +156,7 @@ def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
             return pa.RecordBatch.from_pydict({"range": pa.array([r for r, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
         for whole in batches:
-            for batch in byte_slices(whole, 0):
+            for batch in byte_slices(whole, 0, SLICE):
                 for own in shingler.sets(batch.column(0).to_pylist()):
                     held.append(buckets(own))
                     size += len(own)
@@ -168,7 +187,7 @@ def heads(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) ->
     def run(batches):
         shingler, often, seen = Shingler(n), held.value, set()
         for whole in batches:
-            for batch in byte_slices(whole, 1):
+            for batch in byte_slices(whole, 1, SLICE):
                 ids = batch.column(0).to_pylist()
                 sets = shingler.sets(batch.column(1).to_pylist())
                 classes = [class_of(own) for own in sets]
@@ -306,7 +325,7 @@ def sets_of(docs: DataFrame, n: int, classes: DataFrame) -> DataFrame:
     def run(batches):
         shingler, bits, seen = Shingler(n), held.value, set()
         for whole in batches:
-            for batch in byte_slices(whole, 0):
+            for batch in byte_slices(whole, 0, SLICE):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 kept: dict[int, np.ndarray] = {}
