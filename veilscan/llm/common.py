@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,24 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB for this session, unless it has a setting of its own.
+
+    A batch is held by the JVM and by the Python worker, going in and coming out; Spark's own
+    bound would let texts take many times the memory that an operator itself needs.
+    """
+    if spark.conf.get(BATCH_BYTES, "") == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ..., so that no added column can clash."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column out of the flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
@@ -61,16 +79,6 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def by_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """A function for ``mapInArrow`` that maps each batch by itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from f(batch)
-
-    return run
-
-
 def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts take about ``limit`` bytes together, one row at least."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.llm.common import byte_slices
+from veilscan.llm.common import byte_slices, numbered, small_batches
 from veilscan.llm.fmindex import Index
 
 #: ASCII characters that are no word characters become blanks; bytes of other characters stay.
@@ -148,6 +148,7 @@ def contamination(
     """``docs`` with ``n_words, runs, spans, items`` (input columns of these names give way)."""
     names = [f.name for f in ADDED]
     spark = docs.sparkSession
+    small_batches(spark)
     done = docs.drop(*names)
     at = done.columns.index(text_col)
     schema = T.StructType([*done.schema.fields, *ADDED])
@@ -179,8 +180,9 @@ def searcher(held, at: int, kept: int, names: list[str], shard_bytes: int):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold any test phrase."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return contamination(rows, benchmark).where(F.size("runs") == 0).select("row.*")
+    rows = numbered(docs)
+    done = contamination(rows, benchmark, text_col=rows.columns[docs.columns.index("text")])
+    return done.where(F.size("runs") == 0).select(*rows.columns).toDF(*docs.columns)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilscan.llm.common import byte_slices
+from veilscan.llm.common import byte_slices, small_batches
 
 DEEPEST = 150
 
@@ -369,6 +369,7 @@ def visible_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
     """``pages`` with the visible text of each page in ``to`` (an input column of that name gives way)."""
+    small_batches(pages.sparkSession)
     kept = pages.drop(to) if to.lower() != html_col.lower() else pages.withColumnRenamed(html_col, f"{html_col}_source")
     at = kept.columns.index(html_col if html_col in kept.columns else f"{html_col}_source")
     schema = T.StructType([*kept.schema.fields, T.StructField(to, T.StringType(), False)])

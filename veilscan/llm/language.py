@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.llm.common import byte_slices
+from veilscan.llm.common import byte_slices, numbered, small_batches
 
 UNKNOWN = "und"
 
@@ -191,6 +191,7 @@ def fit(labelled: DataFrame, sample_rows: int = 2_000) -> Model | None:
                     {"lang": pa.array([k for k, _ in kept], pa.string()), "v": pa.array([v for _, v in kept], pa.binary())}
                 )
 
+    small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
     taken = sample(labelled, sample_rows).select("lang", "text").mapInArrow(run, "lang string, v binary")
     got = taken.limit(sample_rows * 5 // 4).toArrow()
@@ -204,6 +205,7 @@ def fit(labelled: DataFrame, sample_rows: int = 2_000) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (input columns of these names give way)."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = kept.columns.index(text_col)
@@ -238,8 +240,9 @@ def learned(docs: DataFrame) -> Model | None:
 
 def known(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows in no language (no text, or no letter in it)."""
-    rows = identify(docs.select(F.struct("*").alias("row"), "text"), learned(docs))
-    return rows.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    rows = numbered(docs)
+    done = identify(rows, learned(docs), rows.columns[docs.columns.index("text")])
+    return done.where(F.col("lang_pred") != UNKNOWN).select(*rows.columns).toDF(*docs.columns)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

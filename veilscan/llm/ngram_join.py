@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import byte_slices, list_column, store
+from veilscan.llm.common import byte_slices, list_column, small_batches, store
 
 FREQUENT = 64
 SMALL = 64
@@ -411,6 +411,7 @@ def reachable(size, place, size2, place2, num: int, den: int):
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, size, component_id``, one row per input row; linked if den * overlap >= num * union."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = store(heads(docs, n, num, den, frequent_buckets(docs, n)), "heads")
     first = rows.where("head is not null").select("class", "size", "rare", "head")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm.chunks import ChunkTable, in_order, sums
-from veilscan.llm.common import byte_slices, list_column
+from veilscan.llm.common import byte_slices, list_column, small_batches
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -101,6 +101,7 @@ def codec(model_path: str) -> PieceCodec:
 
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` and ``decoded`` after its columns (an equal name of an input column gives way)."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("ids", "decoded")
     schema = T.StructType(
         [*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]

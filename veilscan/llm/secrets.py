@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.llm.common import byte_slices
+from veilscan.llm.common import byte_slices, small_batches
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "packed")
@@ -201,6 +201,7 @@ def secrets(text: str) -> list[tuple[int, int, int, bool]]:
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: all spans of each text, in order (an input column of that name gives way)."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("secrets")
     schema = T.StructType([*kept.schema.fields, T.StructField("secrets", SPANS, False)])
     at = kept.columns.index(text_col)
@@ -236,6 +237,7 @@ def masked(text: str, mark: str) -> str:
 
 def redacted(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
     """``docs`` with every secret in its texts replaced by ``mark``; nulls and texts without one stay."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm.chunks import ChunkTable, in_order, sums
-from veilscan.llm.common import byte_slices, list_column, shared_folder, single_thread
+from veilscan.llm.common import byte_slices, list_column, shared_folder, single_thread, small_batches
 
 #: Before a single space between two characters that are no white space, every pre-tokenizer of the
 #: byte-level kind starts a new token; so texts may be cut there.
@@ -109,6 +109,7 @@ def encoder(path: str) -> IdEncoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, layout: Layout = Layout()) -> None:
     """Encode ``doc_id, text`` rows and write the files and the side table below ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
     # Ties in doc_id are ordered by text, which also lets a range split a much repeated id.
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ranged = ranged.repartitionByRange(F.asc_nulls_first("doc_id"), "tie")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import store
+from veilscan.llm.common import small_batches, store
 
 BUCKET = 4_096
 QUERY_BYTES = 16 << 20
@@ -187,6 +187,7 @@ def top_k(vectors: DataFrame, queries, k: int = 20) -> DataFrame:
     ``vectors`` has ``vec_id, v``; ``queries`` is a condition on its rows.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     asked = vectors.where(queries)
     # A few numbers per dimension.
     sizes = asked.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()

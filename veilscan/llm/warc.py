@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import shared_folder
+from veilscan.llm.common import shared_folder, small_batches
 
 MIN_REVISIT = 1_000
 END = "\r\n\r\n"
@@ -155,6 +155,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     A record that is cut off by the end of its file is kept as it is, in a member of its own, with
     record type ``damaged``.
     """
+    small_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(source)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
     names = [c.split()[0] for c in INDEX.split(", ")]
