@@ -63,7 +63,7 @@ def small_batches(spark: SparkSession) -> None:
     A batch is held by the JVM and by the Python worker, going in and coming out; Spark's own
     bound would let texts take many times the memory that an operator itself needs.
     """
-    if spark.conf.get(BATCH_BYTES, "") == "67108864b":
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
         spark.conf.set(BATCH_BYTES, "4m")
 
 
