@@ -40,7 +40,7 @@ def plain_recovery(content):
 
     out = []
     for k, m in enumerate(re.finditer(r'"([a-zA-Z0-9_-]{25,})":\s*\{', content), start=1):
-        window = content[m.start() : m.start() + 50_000]
+        window = content[m.start() :]
         depth, end = 0, None
         for place, c in enumerate(window):
             depth += (c == "{") - (c == "}")
@@ -82,10 +82,10 @@ def test_recovery_cases(spark, tmp_path):
     rows, got = read_entries(spark, tmp_path, text)
     assert got == plain_recovery(text)
     counters = cache.recovery_counters(rows).first()
-    assert (counters.recovered, counters.skipped, counters.findings) == (3, 4, 7)
+    assert (counters.recovered, counters.skipped, counters.findings) == (4, 3, 7)
     state = {r.file_id: r for r in cache.recovered_state(rows).collect()}
     assert state[key(1)].modified_time == "t2" and len(state[key(1)].findings) == 5
-    assert set(state) == {key(1), key(3), key(5)} and state[key(3)].findings == []
+    assert set(state) == {key(1), key(3), key(5), key(6)} and state[key(3)].findings == []
 
 
 def test_unclosed_entry_that_closes_behind_the_next_one(spark, tmp_path):
@@ -111,6 +111,24 @@ def test_recovery_agrees_with_plain_python_on_random_damage(spark, tmp_path):
     assert {g[2] for g in got} >= {"recovered", "skipped"}
 
 
+def test_long_entries_and_small_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    text = "".join(f'"{key(i)}": {json.dumps(entry(rng.choice([0, 1, 700])))}, ' for i in range(40))
+    text = text[:-2] + rng.choice(["", "\n", "}"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        rows, got = read_entries(spark, tmp_path, text)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == plain_recovery(text) and {g[2] for g in got} == {"recovered"}
+
+
+def test_cut_entry_before_many_good_ones(spark, tmp_path):
+    good = "".join(f', "{key(i)}": {json.dumps(entry(1))}' for i in range(1, 10_001))
+    _, got = read_entries(spark, tmp_path, f'"{key(0)}": {{"modified_time": "t", "findings": [{{' + good)
+    assert [g[2] for g in got] == ["skipped"] + ["recovered"] * 10_000
+
+
 def results(spark, rows):
     schema = f"file_id string, modified_time string, total_chars int, findings {FINDINGS}, error string"
     return spark.createDataFrame(rows, schema)

@@ -10,15 +10,14 @@ from veilscan.functions.regex import SPACE
 from veilscan.operators.findall import MARK, without_mark
 from veilscan.operators.resume import newest
 from veilscan.operators.scan import FINDING_TYPE
-from veilscan.sources.workspace import save_table, spread
+from veilscan.sources.workspace import save_table
 
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
 ENTRY_TYPE = f"struct<modified_time:string,total_chars:int,findings:{FINDINGS_TYPE},error:string>"
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
 
-# How an entry starts and how far its closing brace may be.
+# Fixed value: how an entry starts.
 ENTRY_START = f'"[a-zA-Z0-9_-]{{25,}}":[{SPACE}]*\\{{'
-ENTRY_WINDOW = 50_000
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -40,76 +39,111 @@ def _parse(text: Column, schema: str) -> Column:
     return F.get(F.from_json(listed, f"array<{schema}>", STRICT), 0)
 
 
-def _closing(window: Column) -> Column:
-    """Length of the text up to the brace that closes the first one; NULL if none does.
+def _opens(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
 
-    Braces are counted wherever they stand, also inside strings.
-    """
-    zero = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("end")
-    )
 
-    def step(acc: Column, part: Column) -> Column:
-        depth = acc["depth"] + F.when(F.endswith(part, F.lit("{")), 1).otherwise(-1)
-        pos = acc["pos"] + F.length(part)
-        return F.when(acc["end"].isNotNull(), acc).otherwise(
-            F.struct(
-                depth.alias("depth"), pos.alias("pos"), F.when(depth == 0, pos).alias("end")
-            )
-        )
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text up to each closing brace, in blocks as Spark splits the files.
 
-    # Anchored and possessive: text without a further brace is given up at once.
-    parts = F.regexp_extract_all(window, F.lit(r"\G[^{}]*+[{}]"), F.lit(0))
-    return F.aggregate(parts, zero, step, lambda acc: acc["end"])
+    ``source, block, ord`` (number in the file), ``depth`` (of braces behind the piece), ``parts``
+    (cut where entries start), ``before`` (depth before the piece), ``started`` (entry starts before it).
+    Braces are counted wherever they stand, also inside strings. What stands behind the last
+    brace of a file has no depth.
+    """
+    text = without_mark(F.make_valid_utf8("value"))
+    lines = spark.read.option("lineSep", "}").text(path)
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("row"),
+        (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
+        F.split(F.regexp_replace(text, ENTRY_START, MARK + "$0"), MARK, -1).alias("parts"),
+    ).withColumn("opens", F.aggregate("parts", F.lit(0), lambda n, p: n + _opens(p)))
+    # Sums within a block first; a block is as large as Spark makes its splits.
+    within = Window.partitionBy("source", "block").orderBy("row")
+    counted = lines.select(
+        "source", "block", "size", "n_bytes", "parts", "opens",
+        F.row_number().over(within).alias("rn"),
+        F.sum("opens").over(within).alias("opened"),
+        F.sum(F.size("parts") - 1).over(within).alias("starts"),
+    )
+    counted = save_table(counted, "pieces")
+    blocks = counted.groupBy("source", "block").agg(
+        F.max("rn").alias("n"),
+        F.max("opened").alias("block_opened"),
+        F.max("starts").alias("block_starts"),
+        F.sum("n_bytes").alias("block_bytes"),
+        F.first("size").alias("size"),
+    )
+    # One row per block from here: what the blocks before add up to.
+    by_block = Window.partitionBy("source").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    offsets = blocks.select(
+        "source", "block", "n",
+        total("n").alias("n0"),
+        total("block_opened").alias("opened0"),
+        total("block_starts").alias("starts0"),
+        # Every piece stands for a brace but the last one of a file that does not end with one.
+        ((F.sum("block_bytes").over(Window.partitionBy("source")) > F.col("size"))
+         & F.lead("block").over(by_block).isNull()).alias("open_end"),
+    )
+    joined = counted.join(offsets, ["source", "block"]).withColumn("ord", F.col("n0") + F.col("rn"))
+    depth = F.col("opened0") + F.col("opened") - F.col("ord")
+    return joined.select(
+        "source", "block", "ord", "parts",
+        F.when(~(F.col("open_end") & (F.col("rn") == F.col("n"))), depth).alias("depth"),
+        (depth + 1 - F.col("opens")).alias("before"),
+        (F.col("starts0") + F.col("starts") - F.size("parts") + 1).alias("started"),
+    )
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The text from each entry start to the next: ``source, k, piece, n``."""
-    content = without_mark(F.make_valid_utf8("value"))
-    starts = F.split(F.regexp_replace(content, ENTRY_START, MARK + "$0"), MARK, -1)
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("source"), F.posexplode(starts).alias("k", "p"))
-        .where("k > 0")
-        .select(
-            "source",
-            "k",
-            F.substring("p", 1, ENTRY_WINDOW).alias("piece"),
-            F.length("p").cast("bigint").alias("n"),
-        )
+def _entries(pieces: DataFrame) -> DataFrame:
+    """Entry starts: ``source, block, ord, k, base`` (depth around the entry) and ``tail``, its piece's rest."""
+    numbered = pieces.where(F.size("parts") > 1).select(
+        "source", "block", "ord", "before", "started", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("j")
+    )
+    opened = F.aggregate(F.slice("parts", F.lit(1), F.col("j")), F.lit(0), lambda n, p: n + _opens(p))
+    tail = F.slice("parts", F.col("j") + 1, F.size("parts"))
+    return numbered.select(
+        "source", "block", "ord",
+        (F.col("started") + F.col("j")).alias("k"),
+        (F.col("before") + opened).alias("base"),
+        F.array_join(tail, "").alias("tail"),
     )
 
 
-def _stitched(pieces: DataFrame, unclosed: DataFrame) -> DataFrame:
-    """Windows of unclosed entries, continued with the pieces that follow them.
+def _closings(pieces: DataFrame, entries: DataFrame) -> DataFrame:
+    """``source, k, close``: number of the piece that ends at each entry's closing brace.
 
-    How many pieces reach into a window follows from their lengths alone; only
-    those are joined, and together they exceed the window by one piece at most.
+    An entry ends where the depth is back for the first time, and the depth falls by one brace at a
+    time. So within a block the next piece of the same depth is looked for; entries that go beyond
+    their block look for the first later block that gets down to their depth.
     """
-    by_k = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    by_at = Window.partitionBy("source").orderBy("at").rangeBetween(0, ENTRY_WINDOW - 1)
-    reach = (
-        pieces.select("source", "k", "n")
-        .withColumn("at", F.coalesce(F.sum("n").over(by_k), F.lit(0)))
-        .withColumn("upto", F.max("k").over(by_at))
-        .select("source", "k", "upto")
+    none = F.lit(None).cast("bigint")
+    depths = pieces.where("depth is not null").select("source", "block", "ord", F.col("depth").alias("level"))
+    both = entries.select("source", "block", "ord", F.col("base").alias("level"), "k", none.alias("end")).unionByName(
+        depths.withColumn("k", none).withColumn("end", F.col("ord"))
     )
-    wanted = (
-        unclosed.select("source", "k")
-        .join(reach, ["source", "k"])
-        .select("source", F.col("k").alias("first"), F.explode(F.sequence("k", "upto")).alias("k"))
+    # At the same place an entry comes before the brace.
+    following = Window.partitionBy("source", "block", "level").orderBy("ord", F.col("k").isNull())
+    following = following.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("close", F.first("end", ignorenulls=True).over(following)).where("k is not null")
+    rest = found.where("close is null").select("source", "block", "level").distinct()
+    low = depths.groupBy("source", "block").agg(F.min("level").alias("low")).withColumnRenamed("block", "later")
+    target = (
+        rest.join(low, "source")
+        .where((F.col("later") > F.col("block")) & (F.col("low") <= F.col("level")))
+        .groupBy("source", "block", "level")
+        .agg(F.min("later").alias("later"))
     )
+    ends = depths.withColumnRenamed("block", "later").join(target, ["source", "later", "level"])
+    ends = ends.groupBy("source", "block", "level").agg(F.min("ord").alias("beyond"))
     return (
-        wanted.join(pieces.select("source", "k", "piece"), ["source", "k"])
-        .groupBy("source", F.col("first").alias("k"))
-        .agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("run"))
-        .select(
-            "source",
-            "k",
-            F.substring(
-                F.array_join(F.transform("run", lambda r: r["piece"]), ""), 1, ENTRY_WINDOW
-            ).alias("window"),
-        )
+        found.join(ends, ["source", "block", "level"], "left")
+        .select("source", "k", F.coalesce("close", "beyond").alias("close"))
     )
 
 
@@ -119,18 +153,30 @@ def recover_entries(spark: SparkSession, path: str) -> DataFrame:
     Columns: ``source, k`` (order in the file), ``file_id, outcome, modified_time,
     total_chars, error, findings``. Outcomes: ``recovered``; ``no_findings`` (entry
     stored, but its findings are unreadable); ``empty``; ``skipped``.
+
+    Files are split; an entry may have any length. The text of an entry is put together from its
+    pieces, and only for entries that close.
     """
-    # One task reads a file; the work on its entries is dealt out to all.
-    pieces = _pieces(spark, path).repartition("source", "k")
-    closed = spread(save_table(pieces.withColumn("end", _closing(F.col("piece"))), "pieces"))
-    # A piece cut off by the next entry may still close further on.
-    unclosed = closed.where(F.col("end").isNull() & (F.col("n") < ENTRY_WINDOW))
-    rest = closed.where(F.col("end").isNotNull() | (F.col("n") >= ENTRY_WINDOW))
-    windows = rest.select("source", "k", F.col("piece").alias("window"), "end").unionByName(
-        _stitched(closed, unclosed).withColumn("end", _closing(F.col("window")))
+    pieces = save_table(_pieces(spark, path), "pieces")
+    entries = _entries(pieces)
+    ends = entries.select("source", "ord", "k", "tail").join(_closings(pieces, entries), ["source", "k"])
+    run = ends.where("close is not null").select(
+        "source", "k", F.explode(F.sequence(F.col("ord"), F.col("close"))).alias("ord"),
+        F.col("ord").alias("first"), "tail",
+    )
+    texts = pieces.select("source", "ord", F.array_join("parts", "").alias("piece"))
+    own = F.when(F.col("ord") == F.col("first"), F.col("tail")).otherwise(F.col("piece"))
+    whole = (
+        run.withColumn("tail", F.when(F.col("ord") == F.col("first"), F.col("tail")))
+        .join(texts, ["source", "ord"])
+        .groupBy("source", "k")
+        .agg(F.array_sort(F.collect_list(F.struct("ord", own.alias("t")))).alias("run"))
+        .select("source", "k", F.concat(F.array_join(F.transform("run", lambda r: r["t"]), "}"), F.lit("}")).alias("window"))
     )
-    fragment = F.concat(F.lit("{"), F.expr("left(window, end)"), F.lit("}"))
-    file_id = F.regexp_extract("window", '^"([^"]*)"', 1)
+    unclosed = ends.where("close is null").select("source", "k", F.col("tail").alias("start"), F.lit(None).cast("string").alias("window"))
+    windows = whole.select("source", "k", F.col("window").alias("start"), "window").unionByName(unclosed)
+    fragment = F.concat(F.lit("{"), F.col("window"), F.lit("}"))
+    file_id = F.regexp_extract("start", '^"([^"]*)"', 1)
     parsed = windows.select(
         "source",
         "k",
