@@ -40,11 +40,11 @@ SMALL = 64
 ROUNDS = 3
 #: At most so many frequent buckets are kept (the most frequent ones) and sent to all tasks.
 MOST_BUCKETS = 1 << 21
-BUCKET_BITS = 36
+BUCKET_BITS = 34
 #: n-grams that a task sorts and sends at once.
 FLUSH = 1 << 20
 #: Bits of the filter that tells which sets are asked for.
-FILTER_BITS = 27
+FILTER_BITS = 25
 BLOCKS = 4
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +56,7 @@ SEPARATORS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 NUMBERS = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 NUMBERS[65:91] = NUMBERS[97:123]
 #: Texts of so many bytes are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 class Shingler:
@@ -298,7 +298,7 @@ def shared_in(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def class_filter(classes: DataFrame) -> np.ndarray:
-    """A bit for the first ``FILTER_BITS`` bits of each class: 16 MB, whatever the number of classes."""
+    """A bit for the first ``FILTER_BITS`` bits of each class: 4 MB, whatever the number of classes."""
     place = F.shiftrightunsigned("class", 64 - FILTER_BITS)
     blocks = classes.select(F.shiftright(place, 15).cast("int").alias("block"), place.bitwiseAND(32767).cast("int").alias("bit"))
 

@@ -115,6 +115,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> D
                 ids, lengths, decoded = own.run([t or "" for t in batch.column(at).to_pylist()])
                 columns = [*batch.columns, list_column(ids, lengths, pa.int32()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        own.table.clear()  # a worker lives on; its other tasks need the memory
 
     return kept.mapInArrow(run, schema)
 

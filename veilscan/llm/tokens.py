@@ -126,6 +126,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, layout
                     [batch.column(0), batch.column(3), pa.array(starts), pa.array(n), list_column(ids, n, pa.int32())],
                     names=["doc_id", "shard", "before", "n_tokens", "ids"],
                 )
+        own.table.clear()  # a worker lives on; its other tasks need the memory
 
     ranged.mapInArrow(run, SCHEMA).write.options(**layout.options()).parquet(f"{path}/tokens")
     shards = spark.read.schema(SCHEMA).parquet(f"{path}/tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
