@@ -92,6 +92,15 @@ def test_json_report_is_one_document(results, tmp_path):
     assert doc["metadata"]["duration_seconds"] == 1.24
 
 
+def test_json_report_of_files_listed_twice(results, tmp_path):
+    from pathlib import Path
+
+    twice = results.unionByName(results).unionByName(results.withColumn("file_path", F.lit("/other")))
+    doc = json.loads("".join(lines_of(Path(writers.write_json_report(twice.repartition(5), str(tmp_path))))))
+    assert [len(doc[k]) for k in ("flagged_files", "clean_files", "errors")] == [15, 3, 6]
+    assert [f["file_path"] for f in doc["flagged_files"][:3]] == ["/other", "/x/crit.txt", "/x/crit.txt"]
+
+
 def test_json_report_without_files(results, tmp_path):
     from pathlib import Path
 
@@ -105,6 +114,8 @@ def test_log(results, tmp_path):
     from pathlib import Path
 
     lines = lines_of(Path(writers.write_findings_log(results.repartition(3), str(tmp_path))))
+    assert lines[:3] == list(report.LOG_TITLE)
+    lines = lines[3:]
     assert lines[:4] == [
         "[CRITICAL] File: crit.txt (ID: crit)",
         "Path: /x/crit.txt",

@@ -192,6 +192,45 @@ def test_batches_rescan_changes_only_and_replay_changes_nothing(spark, tmp_path)
     assert sorted(r.file_id for r in compacted.findings().collect()) == ["b", "d"]
 
 
+def test_unknown_times_are_scanned(spark, tmp_path):
+    state = ScanState(spark, str(tmp_path / "state"))
+    first = batch(spark, [("a", None, "a@b.example"), ("b", "", "c@d.example"), ("c", None, None), ("c", None, None)])
+    scan_batch(first, 0, state)
+    assert sorted(r.file_id for r in state.findings().collect()) == ["a", "b"]
+    # Unknown stays unknown: nothing has changed, null or ''.
+    scan_batch(batch(spark, [("a", "", "x"), ("b", None, "x"), ("d", None, "e@f.example")]), 1, state)
+    assert [r.file_id for r in state.log().where("batch_id = 1").collect()] == ["d"]
+    files = spark.createDataFrame([("a", None), ("x", None)], "file_id string, modified_time string")
+    known = results(spark, [("a", None, 5, [], None)])
+    assert [r.file_id for r in resume.cached_results(files, known).collect()] == ["a"]
+    assert [r.file_id for r in resume.files_to_scan(files, known).collect()] == ["x"]
+
+
+def test_streams_do_not_replace_each_other(spark, tmp_path):
+    state = ScanState(spark, str(tmp_path / "state"))
+    scan_batch(batch(spark, [("a", "1", "a@b.example")]), 0, state, stream="one")
+    scan_batch(batch(spark, [("a", "1", "not read"), ("b", "1", "c@d.example")]), 0, state, stream="two")
+    assert sorted(r.file_id for r in state.findings().collect()) == ["a", "b"]
+    # A later batch of any stream wins, whatever its number; a replay keeps its place.
+    scan_batch(batch(spark, [("a", "2", "none")]), 0, state, stream="three")
+    scan_batch(batch(spark, [("a", "1", "a@b.example")]), 0, state, stream="one")
+    assert [r.file_id for r in state.findings().collect()] == ["b"]
+
+
+def test_a_new_checkpoint_is_a_new_stream(spark, tmp_path):
+    state, inbox = ScanState(spark, str(tmp_path / "state")), tmp_path / "inbox"
+    schema = "file_id string, modified_time string, text string"
+    for offsets, rows in (("old", [("a", "1", "a@b.example")]), ("new", [("b", "1", "c@d.example")]), ("new", [])):
+        if rows:
+            batch(spark, rows).coalesce(1).write.parquet(str(inbox / offsets))
+        stream = text_stream(spark, str(inbox) + "/*", schema)
+        scan_stream(stream, state, str(tmp_path / offsets)).awaitTermination()
+        if offsets == "old":
+            assert [r.file_id for r in state.findings().collect()] == ["a"]
+    assert sorted(r.file_id for r in state.findings().collect()) == ["a", "b"]
+    assert state.log().select("stream").distinct().count() == 2
+
+
 def test_newest_version_within_a_batch(spark, tmp_path):
     state = ScanState(spark, str(tmp_path / "state"))
     scan_batch(batch(spark, [("a", "1", "x@y.example"), ("a", "2", "none")]), 0, state)

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 RESULT_COLUMNS = ("total_chars", "findings", "error")
 
 
+def timed(rows: DataFrame) -> DataFrame:
+    """``rows`` with an unknown modification time as ''."""
+    return rows.withColumn("modified_time", F.coalesce("modified_time", F.lit("")))
+
+
 def _usable(cache: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return cache.select("file_id", "modified_time", *columns)
+    return timed(cache).select("file_id", "modified_time", *columns)
 
 
 def cached_results(files: DataFrame, cache: DataFrame) -> DataFrame:
@@ -19,7 +24,7 @@ def cached_results(files: DataFrame, cache: DataFrame) -> DataFrame:
 
     File metadata comes from the listing, the result (errors included) from the cache.
     """
-    hits = files.join(_usable(cache, RESULT_COLUMNS), ["file_id", "modified_time"])
+    hits = timed(files).join(_usable(cache, RESULT_COLUMNS), ["file_id", "modified_time"])
     return hits.withColumns(
         {
             "total_chars": F.coalesce("total_chars", F.lit(0)),
@@ -30,16 +35,23 @@ def cached_results(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 def files_to_scan(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Files that are new or whose modification time differs from the cached one."""
-    return files.join(_usable(cache, ()), ["file_id", "modified_time"], "left_anti")
+    return timed(files).join(_usable(cache, ()), ["file_id", "modified_time"], "left_anti")
 
 
-def pick_changed(texts: DataFrame, known: DataFrame) -> DataFrame:
+def pick_changed(texts: DataFrame, known: DataFrame | None) -> DataFrame:
     """Texts whose newest version is not among ``known`` (``file_id, modified_time``).
 
+    Nothing known (None) and no file twice: these are all texts. An unknown time counts as ''.
     The choice is made on keys alone. Texts meet only the keys chosen: where few have
     changed these are small enough to be broadcast, and no text is shuffled.
     """
-    versions = newest(texts.select("file_id", "modified_time"), ["file_id"], F.col("modified_time"))
+    texts = timed(texts)
+    keys = texts.select("file_id", "modified_time")
+    if known is None:
+        if keys.groupBy("file_id").count().where("count > 1").isEmpty():
+            return texts
+        known = keys.where("false")
+    versions = newest(keys, ["file_id"], F.col("modified_time"))
     return texts.join(files_to_scan(versions, known), ["file_id", "modified_time"], "left_semi")
 
 

@@ -559,11 +559,6 @@ LEDGER_SELECT = (
     " FROM all_findings JOIN results USING (file_id)"
 )
 _report("findings_ledger", LEDGER_SELECT, report.ledger)
-_report(
-    "findings_ledger_top",
-    f'{LEDGER_SELECT} ORDER BY file_id, "start", entity_type, "end" LIMIT {report.LEDGER_CAP}',
-    report.ledger_top,
-)
 _report(
     "clean_files",
     "SELECT file_id, file_name, file_path FROM results WHERE status = 'clean'",
@@ -636,15 +631,54 @@ _report(
     " '  - ' || rpad(entity_type, CAST(greatest(15, length(entity_type)) AS INT), ' ') || ' : ' ||"
     " rpad(masked_value, CAST(greatest(30, length(masked_value)) AS INT), ' ') || ' (Pos: ' || \"start\" || '-' || \"end\" || ')'"
     " FROM all_findings JOIN results USING (file_id) WHERE status = 'flagged' UNION ALL "
-    "SELECT risk_score, file_id, total_findings + 2, '' FROM results WHERE status = 'flagged')",
+    "SELECT risk_score, file_id, total_findings + 2, '' FROM results WHERE status = 'flagged' UNION ALL "
+    + " UNION ALL ".join(f"SELECT 2.0, '', {i}, '{t}'" for i, t in enumerate(report.LOG_TITLE))
+    + ")",
     report.log_lines,
     stored=True,
 )
 
 
-@register("report_json")
+SECTIONS = {2: "flagged", 4: "clean", 6: "error"}
+
+
+@register(
+    "report_json",
+    with_ctes(
+        RESULT_CTES + """,
+twice AS (SELECT * FROM results UNION ALL SELECT * REPLACE ('/second' || file_path AS file_path)
+  FROM results WHERE CAST(file_id AS BIGINT) % 3 = 0),
+lines AS (SELECT status, file_id, file_path, CASE status WHEN 'flagged' THEN risk_score END AS score,
+  CASE status WHEN 'flagged' THEN CAST(total_findings AS BIGINT) END AS n FROM twice)""",
+        "SELECT status, file_id, file_path, score, n, CAST(row_number() OVER (PARTITION BY status ORDER BY"
+        " score DESC, CAST(file_id AS VARCHAR), file_path) > 1 AS BOOLEAN) AS comma FROM lines UNION ALL "
+        "SELECT 'total', entity_type, NULL, NULL, count(*), true FROM twice JOIN all_findings USING (file_id)"
+        " WHERE status = 'flagged' GROUP BY entity_type",
+    ),
+)
 def report_json(spark, sf_dir):
-    return report.document_lines(stored_results(spark, sf_dir)).select("section", "file_id", "line")
+    """The document's lines, read as JSON again. A third of the files is listed under two parents."""
+    stored = stored_results(spark, sf_dir)
+    second = stored.where(F.col("file_id").cast("bigint") % 3 == 0)
+    second = second.withColumn("file_path", F.concat(F.lit("/second"), "file_path"))
+    lines = report.document_lines(stored.unionByName(second))
+    at, text = F.col("section"), F.col("line")
+    fields = "file_id string, file_path string, risk_score double, total_findings bigint"
+    entries = lines.where(at.isin(*SECTIONS) & ~F.startswith(text, F.lit("]"))).select(
+        F.element_at(F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv]), at).alias("status"),
+        F.from_json(F.ltrim(text, F.lit(",")), fields).alias("e"),
+        F.startswith(text, F.lit(",")).alias("comma"),
+    )
+    head = F.from_json(F.concat(text, F.lit("}")), "summary struct<entity_type_totals: map<string,bigint>>")
+    totals = lines.where(at == 0).select(F.explode(head["summary"]["entity_type_totals"]).alias("file_id", "n"))
+    return entries.select(
+        "status", "e.file_id", "e.file_path", F.col("e.risk_score").alias("score"), F.col("e.total_findings").alias("n"), "comma"
+    ).unionByName(
+        totals.select(
+            F.lit("total").alias("status"), "file_id", F.lit(None).cast("string").alias("file_path"),
+            F.lit(None).cast("double").alias("score"), "n", F.lit(True).alias("comma"),
+        )
+    )
 
 
 # --- dashboard ----------------------------------------------------------------------
@@ -1250,7 +1284,7 @@ def _stream_documents(
     spark: SparkSession, sf_dir: str, state: ScanState, checkpoint: str, version: Column
 ) -> None:
     schema = table(spark, sf_dir, "documents").schema
-    stream = incremental.text_stream(spark, sf_dir, schema, "documents.parquet", max_files=1)
+    stream = incremental.text_stream(spark, sf_dir, schema, "documents.parquet")
     documents = stream.select(
         F.col("doc_id").cast("string").alias("file_id"),
         F.col("source").alias("owner"),
@@ -1270,6 +1304,33 @@ def incremental_scan(spark, sf_dir):
     return state.findings()
 
 
+@register(
+    "incremental_two_streams",
+    with_ctes(
+        sql.scan_ctes(
+            "SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, text FROM documents"
+            " UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), html FROM pages"
+        ),
+        f"SELECT id AS file_id, {FINDING_COLUMNS} FROM findings",
+    ),
+)
+def incremental_two_streams(spark, sf_dir):
+    """Documents and pages, each by a stream of its own, in one state; then documents by a new checkpoint."""
+    base = shared_folder(spark)
+    state = ScanState(spark, f"{base}/state")
+    for offsets, name, key, text in (
+        ("a", "documents", "doc_id", "text"), ("b", "pages", "page_id", "html"), ("c", "documents", "doc_id", "text"),
+    ):
+        schema = table(spark, sf_dir, name).schema
+        stream = incremental.text_stream(spark, sf_dir, schema, f"{name}.parquet").select(
+            F.concat(F.lit(name[0]), F.col(key).cast("string")).alias("file_id"),
+            F.lit(None).cast("string").alias("modified_time"),
+            F.col(text).alias("text"),
+        )
+        incremental.scan_stream(stream, state, f"{base}/offsets-{offsets}").awaitTermination()
+    return state.findings()
+
+
 @register(
     "incremental_changed",
     "SELECT CAST(doc_id AS VARCHAR) AS file_id, CASE WHEN lang = 'en' THEN 'v1' ELSE 'v2' END"
@@ -1286,7 +1347,7 @@ def incremental_changed(spark, sf_dir):
         incremental.scan_batch(
             docs.withColumn("modified_time", version).drop("lang"), batch_id, state
         )
-    latest = resume.newest(state.log(), ["file_id"], F.col("batch_id"))
+    latest = resume.newest(state.log().drop("seq", "stream"), ["file_id"], F.col("batch_id"))
     return latest.select("file_id", "modified_time", F.col("batch_id").cast("bigint"))
 
 

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from veilscan.operators.risk import entity_count, findings_of_results, risk_icon, with_risk
 
-# The entity columns of the flagged-files table, and the ledger's row cap.
+# The entity columns of the flagged-files table.
 TABLE_ENTITIES = (
     "NPI", "PERSON", "PHONE_NUMBER", "EMAIL_ADDRESS", "LOCATION", "CREDIT_CARD", "US_SSN",
     "KR_RRN", "KR_PASSPORT", "KR_CARD_NUMBER", "KR_PHONE",
 )
-LEDGER_CAP = 50_000
 LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 SCANNER_VERSION = "1.0.0"
+LOG_TITLE = ("Findings by file, highest risk first", "====================================", "")
 
 BY_RISK = (F.desc, "risk_score"), (F.asc, "file_id")
 
@@ -155,11 +155,6 @@ def ledger(results: DataFrame) -> DataFrame:
     ).select("file_id", "file_name", "file_path", "owner", "f.*")
 
 
-def ledger_top(results: DataFrame, cap: int = LEDGER_CAP) -> DataFrame:
-    """The first ``cap`` ledger rows in file and text order."""
-    return ledger(results).orderBy("file_id", "start", "entity_type", "end").limit(cap)
-
-
 def clean_files(results: DataFrame) -> DataFrame:
     return with_risk(results).where("status = 'clean'").select("file_id", "file_name", "file_path")
 
@@ -203,7 +198,10 @@ def entity_breakdown(findings: DataFrame) -> DataFrame:
 
 
 def log_lines(results: DataFrame) -> DataFrame:
-    """The findings log as lines: ``risk_score, file_id, line_no, line`` in reading order."""
+    """The findings log as lines: ``risk_score, file_id, line_no, line`` in reading order.
+
+    The title comes first; its lines have no file and a score above all others.
+    """
     line = F.transform(
         "findings",
         lambda f: F.format_string(
@@ -218,11 +216,15 @@ def log_lines(results: DataFrame) -> DataFrame:
         F.format_string("[%s] File: %s (ID: %s)", "risk_level", "file_name", "file_id"),
         F.concat(F.lit("Path: "), F.col("file_path")),
     )
-    return (
-        flagged_files(results)
-        .select("risk_score", "file_id", F.posexplode(F.concat(head, line, F.array(F.lit("")))).alias("line_no", "line"))
-        .orderBy(*_by_risk(), "line_no")
+    title = results.sparkSession.range(1).select(
+        F.lit(2.0).alias("risk_score"),
+        F.lit("").alias("file_id"),
+        F.posexplode(F.array(*[F.lit(t) for t in LOG_TITLE])).alias("line_no", "line"),
+    )
+    lines = flagged_files(results).select(
+        "risk_score", "file_id", F.posexplode(F.concat(head, line, F.array(F.lit("")))).alias("line_no", "line")
     )
+    return title.unionByName(lines).orderBy(*_by_risk(), "line_no")
 
 
 def document_lines(
@@ -271,27 +273,33 @@ def document_lines(
     ):
         score = F.col("risk_score") if name == "flagged_files" else F.lit(0.0)
         entry = F.to_json(F.struct(*[c for c in rows.columns]), {"ignoreNullFields": "false"})
-        first = rows.agg(F.min(F.struct((-score).alias("s"), "file_id")).alias("x")).select(
-            F.col("x.file_id").alias("_first")
-        )
-        marked = rows.join(F.broadcast(first), F.col("file_id") == F.col("_first"), "left")
-        comma = F.when(F.col("_first").isNotNull(), F.lit("")).otherwise(F.lit(","))
+        # A file may be listed more than once, even twice alike; equal entries share a line,
+        # so that exactly one line of a section is the first.
+        lines = rows.select((-score).alias("at"), "file_id", entry.alias("entry"))
+        lines = lines.groupBy("at", "file_id", "entry").agg(F.count("*").cast("int").alias("n"))
+        first = lines.agg(F.min(F.struct("at", "file_id", "entry")).alias("first"))
+        marked = lines.join(F.broadcast(first), F.struct("at", "file_id", "entry").eqNullSafe(F.col("first")), "left")
+        comma = F.when(F.col("first").isNotNull(), F.lit("")).otherwise(F.lit(","))
+        text = F.concat(comma, F.array_join(F.array_repeat("entry", F.col("n")), ","))
         one = rows.sparkSession.range(1)
         parts.append(_line(one, 2 * section - 1, F.lit(0.0), F.lit(""), F.lit(f',"{name}": [')))
-        parts.append(_line(marked, 2 * section, -score, F.col("file_id"), F.concat(comma, entry)))
+        parts.append(_line(marked, 2 * section, F.col("at"), F.col("file_id"), text, F.col("entry")))
         close = "]" if name != "errors" else "]}"
         parts.append(_line(one, 2 * section, F.lit(float("inf")), F.lit(""), F.lit(close)))
-    return reduce(DataFrame.unionByName, parts).orderBy("section", "at", "file_id")
+    return reduce(DataFrame.unionByName, parts).orderBy("section", "at", "file_id", "entry").drop("entry")
 
 
-def _line(df: DataFrame, section: int, at: Column, file_id: Column, line: Column) -> DataFrame:
+def _line(
+    df: DataFrame, section: int, at: Column, file_id: Column, line: Column, entry: Column | None = None
+) -> DataFrame:
     return df.select(
-        F.lit(section).alias("section"), at.alias("at"), file_id.alias("file_id"), line.alias("line")
+        F.lit(section).alias("section"), at.alias("at"), file_id.alias("file_id"), line.alias("line"),
+        (F.lit("") if entry is None else entry).alias("entry"),
     )
 
 
 __all__ = [
     "clean_files", "console_ranking", "document_lines", "entity_breakdown", "entity_totals",
     "error_files", "findings_of_results", "flagged_files", "flagged_table", "ledger",
-    "ledger_top", "log_lines", "risk_distribution", "scan_verdict", "summary", "summary_row",
+    "log_lines", "risk_distribution", "scan_verdict", "summary", "summary_row",
 ]

@@ -28,6 +28,7 @@ def write_json_report(
 
 def write_findings_log(results: DataFrame, folder: str) -> str:
     path = f"{folder}/{report_name()}.txt"
+    results = save_table(results, "results")  # a sort samples its input first
     report.log_lines(results).select("line").write.text(path)
     return path
 

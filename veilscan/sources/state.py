@@ -1,7 +1,8 @@
 """Scan state: an append-only log of per-file results, newest entry wins.
 
-Each batch is one folder, written whole, so writing it again replaces it (a replayed
-batch changes nothing) and its cost depends on the batch, not on the state. Replacing
+Each batch of each stream is one folder, written whole, so writing it again replaces it (a
+replayed batch changes nothing). A batch gets the next number of the log's sequence when it is
+first written; the highest number wins. Replacing
 a file's results needs no rewrite either: its newer entry hides the older one together
 with the older findings.
 """
@@ -46,8 +47,11 @@ class ScanState:
     def _log(self) -> str:
         return f"{self.path.rstrip('/')}/results"
 
-    def write_batch(self, results: DataFrame, batch_id: int) -> None:
-        """Store one batch of results (one row per file)."""
+    def write_batch(self, results: DataFrame, batch_id: int, stream: str = "main") -> None:
+        """Store one batch of results (one row per file) of one stream."""
+        own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+        seq = self.log().agg(F.max(F.when(own, F.col("seq"))).alias("own"), F.max("seq").alias("last")).first()
+        number = seq["own"] if seq["own"] is not None else (seq["last"] or 0) + 1
         schema = self.spark.createDataFrame([], RESULTS_SCHEMA).schema
         rows = results
         if "last_scanned" not in rows.columns:
@@ -58,21 +62,26 @@ class ScanState:
                 .cast(f.dataType)
                 .alias(f.name)
                 for f in schema
-            ]
-        ).write.mode("overwrite").parquet(f"{self._log}/batch_id={batch_id}")
-
-    def log(self, before: int | None = None) -> DataFrame:
-        rows = read_table(self.spark, self._log, RESULTS_SCHEMA + ", batch_id bigint")
-        return rows if before is None else rows.where(F.col("batch_id") < before)
-
-    def results(self, before: int | None = None) -> DataFrame:
+            ],
+            F.lit(number).cast("bigint").alias("seq"),
+        ).write.mode("overwrite").parquet(f"{self._log}/stream={stream}/batch_id={batch_id}")
+
+    def log(self, before: int | None = None, stream: str = "main") -> DataFrame:
+        """All entries; with ``before`` those that a batch of ``stream`` finds: not its own
+        and later ones of the same stream."""
+        rows = read_table(self.spark, self._log, RESULTS_SCHEMA + ", seq bigint, stream string, batch_id bigint")
+        if before is None:
+            return rows
+        return rows.where((F.col("stream") != stream) | (F.col("batch_id") < before))
+
+    def results(self, before: int | None = None, stream: str = "main") -> DataFrame:
         """Newest results per file, optionally as they were before a batch."""
-        return newest(self.log(before), ["file_id"], F.col("batch_id")).drop("batch_id")
+        return newest(self.log(before, stream), ["file_id"], F.col("seq")).drop("seq", "stream", "batch_id")
 
-    def versions(self, before: int | None = None) -> DataFrame:
-        """Newest ``file_id, modified_time`` only; reads two columns of the log."""
-        rows = self.log(before).select("file_id", "modified_time", "batch_id")
-        return newest(rows, ["file_id"], F.col("batch_id")).drop("batch_id")
+    def versions(self, before: int | None = None, stream: str = "main") -> DataFrame:
+        """Newest ``file_id, modified_time`` only; reads three columns of the log."""
+        rows = self.log(before, stream).select("file_id", "modified_time", "seq")
+        return newest(rows, ["file_id"], F.col("seq")).drop("seq")
 
     def findings(self) -> DataFrame:
         return findings_of_results(self.results())
@@ -80,6 +89,5 @@ class ScanState:
     def compact(self, path: str) -> ScanState:
         """Copy the newest entries to a new place; switch to it once this returns."""
         compacted = ScanState(self.spark, path)
-        last = self.log().agg(F.max("batch_id")).first()[0]
-        compacted.write_batch(self.results(), last or 0)
+        compacted.write_batch(self.results(), 0, "compacted")
         return compacted

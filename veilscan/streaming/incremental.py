@@ -7,6 +7,8 @@ new input adds nothing.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -42,25 +44,38 @@ def text_stream(
 
 
 def scan_batch(
-    batch: DataFrame, batch_id: int, state: ScanState, params: ScanParams | None = None
+    batch: DataFrame, batch_id: int, state: ScanState, params: ScanParams | None = None, stream: str = "main"
 ) -> None:
     """Scan the changed documents of one batch and store their results.
 
     ``batch`` has ``file_id, modified_time, text`` and any file metadata. Only state of
-    earlier batches decides what has changed, so a replay repeats the first outcome.
+    other streams and of earlier batches decides what has changed, so a replay repeats the
+    first outcome. Texts are dealt out by id, so that few large files keep all tasks busy.
     """
-    changed = pick_changed(batch, state.versions(before=batch_id))
+    known = state.versions(batch_id, stream)
+    changed = pick_changed(batch, None if state.log(batch_id, stream).isEmpty() else known)
     error = F.when(~has_content(F.col("text")), F.lit(NO_TEXT))
-    state.write_batch(scan_rows(changed.withColumn("error", error), "text", params), batch_id)
+    dealt = changed.withColumn("error", error).repartition("file_id")
+    state.write_batch(scan_rows(dealt, "text", params), batch_id, stream)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps with a checkpoint: the same after a restart, another for a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def scan_stream(
     stream: DataFrame, state: ScanState, checkpoint: str, params: ScanParams | None = None
 ) -> StreamingQuery:
-    """Scan everything that is there now, batch by batch, then stop."""
+    """Scan everything that is there now, batch by batch, then stop.
+
+    Each checkpoint is a stream of its own in the state: several streams may share it.
+    """
     return (
         stream.writeStream.foreachBatch(
-            lambda batch, batch_id: scan_batch(batch, batch_id, state, params)
+            lambda batch, batch_id: scan_batch(
+                batch, batch_id, state, params, stream_id(batch.sparkSession, checkpoint)
+            )
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
