@@ -20,7 +20,7 @@ FOLDER_MIME = "application/vnd.google-apps.folder"
 
 @dataclass(frozen=True)
 class ScanParams:
-    """What to look for and how to cut texts. Defaults follow the documented ones."""
+    """What to look for and how to cut texts. The defaults are fixed values."""
 
     chunk_size: int = 10_000
     chunk_overlap: int = 200

@@ -47,11 +47,18 @@ def files_with_findings(scan_results: DataFrame, findings: DataFrame) -> DataFra
 
 
 def overview(scan_results: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row: scanned, flagged, findings, CRITICAL and HIGH files."""
+    """One row: scanned, flagged, findings, CRITICAL and HIGH files, findings by entity."""
     files = flagged(scan_results, findings).agg(
         F.count("*").alias("total_flagged_files"),
         F.coalesce(F.sum("total_findings"), F.lit(0)).alias("total_pii_findings"),
         F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high"),
     )
-    return files.withColumn("total_files_scanned", scan_results.agg(F.count("*")).scalar())
+    kinds = findings.groupBy("entity_type").agg(F.count("*").alias("n"))
+    breakdown = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))))
+    return files.withColumns(
+        {
+            "total_files_scanned": scan_results.agg(F.count("*")).scalar(),
+            "entity_breakdown": breakdown.scalar(),
+        }
+    )

@@ -146,8 +146,14 @@ def scan_ctes(source: str, params: ScanParams | None = None, prefix: str = "") -
         else None,
         "false",
     )
-    plain = _by_rule(chosen, lambda r: f"CAST({r.plain_score!r} AS DOUBLE)", "NULL")
-    boosted = _by_rule(chosen, lambda r: f"CAST({r.context_score!r} AS DOUBLE)", "NULL")
+    # Scores from the base alone: a confirmed hit gains 0.55 up to 0.95, keywords 0.15 up to 0.98.
+    base = _by_rule(chosen, lambda r: f"CAST({r.base!r} AS DOUBLE)", "NULL")
+    confirmed = _by_rule(chosen, lambda r: "true" if r.validator else None, "false")
+    has_words = _by_rule(chosen, lambda r: "true" if r.keywords else None, "false")
+    plain = (
+        f"least(0.98::DOUBLE, CASE WHEN {confirmed} THEN least(0.95::DOUBLE, {base} + 0.55::DOUBLE) ELSE {base} END)"
+    )
+    boosted = f"CASE WHEN {has_words} THEN least(0.98::DOUBLE, {plain} + 0.15::DOUBLE) ELSE {plain} END"
     hit = "{'s': s, 'e': e, 'c': c, 'r': rule_no, 'm': m}"
     again = "{'s': s, 'e': e, 'c': c, 'm': m}"
     return f"""

@@ -15,7 +15,7 @@ from veilscan.operators.scan import FINDING_TYPE, scan, scan_long_texts, scan_ro
 from veilscan.params import FOLDER_MIME, ScanParams
 from veilscan.plans import dashboard, report
 from veilscan.plans import oracle as sql
-from veilscan.rules import DEFAULT_RULES
+from veilscan.rules import DEFAULT_RULES, Rule
 from veilscan.sources import cache, files
 from veilscan.sources.state import ScanState
 from veilscan.sources.workspace import save_table, shared_folder, spread
@@ -369,6 +369,48 @@ def _scan_letters(name: str, params: ScanParams) -> None:
         return scan(letters(spark, sf_dir), "file_id", "text", params)
 
 
+def _find_all_letters(rule) -> None:
+    source = f"(SELECT id, 0 AS off, text AS t, {sql.safe_sql('text')} AS safe FROM ({LETTER_SQL}))"
+
+    @register(
+        f"find_all_letters_rule{rule.number}",
+        'SELECT id AS file_id, CAST(s AS INT) AS "start", CAST(e AS INT) AS "end",'
+        f" substr(t, s + 1, e - s) AS text FROM ({sql.matches_sql(source, [rule])})",
+    )
+    def query(spark, sf_dir):
+        return findall.find_positions(
+            letters(spark, sf_dir), "file_id", "text", to_java(rule.pattern, rule.opens)
+        )
+
+
+# The letters hold something for every rule.
+for _rule in DEFAULT_RULES:
+    _find_all_letters(_rule)
+
+
+# A rule of the user's own, with a check of its own, as findings over a view.
+ORDER_TAG = Rule(
+    100, "ORDER_TAG", r"\b5678, 0\d-\d{4}\b", 0.4, keywords=("visa",),
+    validator=lambda hit: F.substring(hit, -1, 1).isin("0", "2", "4", "6", "8"),
+)
+OWN_RULES = ScanParams(custom_rules=(ORDER_TAG,), entities=("ORDER_TAG", "US_SSN"))
+sql.VALIDATOR_SQL[ORDER_TAG.validator] = lambda digits: f"right({digits}, 1) IN ('0', '2', '4', '6', '8')"
+
+
+@register(
+    "scan_own_rules",
+    with_ctes(
+        sql.scan_ctes(LETTER_SQL, OWN_RULES),
+        "SELECT entity_type, count(*) AS n, max(confidence) AS top, min(\"start\") AS first FROM findings GROUP BY entity_type",
+    ),
+)
+def scan_own_rules(spark, sf_dir):
+    scan(letters(spark, sf_dir), "file_id", "text", OWN_RULES).createOrReplaceTempView("own_findings")
+    return spark.sql(
+        "SELECT entity_type, count(*) AS n, max(confidence) AS top, min(start) AS first FROM own_findings GROUP BY entity_type"
+    )
+
+
 _scan_letters("scan_derived_identifiers", ScanParams())
 _scan_letters("scan_threshold_low", ScanParams(confidence_threshold=0.3))
 _scan_letters("scan_threshold_high", ScanParams(confidence_threshold=0.9))
@@ -684,9 +726,16 @@ def report_json(spark, sf_dir):
 # --- dashboard ----------------------------------------------------------------------
 
 
+def map_text(name: str) -> Column:
+    """A map as key=value, comma-joined in key order."""
+    entries = F.array_sort(F.map_entries(name))
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+
+
 def state_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     stored = stored_results(spark, sf_dir).withColumn(
-        "last_scanned", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+        "last_scanned",
+        F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.col("file_id").cast("int") % 300),
     )
     return stored.drop("findings"), risk.findings_of_results(stored)
 
@@ -696,7 +745,7 @@ def state_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     with_ctes(
         RESULT_CTES,
         "SELECT count(*) AS scanned_count, (SELECT count(*) FROM all_findings) AS findings_count,"
-        " TIMESTAMP '2024-01-01 00:00:00' AS last_activity FROM results",
+        " max(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(CAST(file_id AS BIGINT) % 300 AS INT))) AS last_activity FROM results",
     ),
 )
 def dashboard_stats(spark, sf_dir):
@@ -708,11 +757,15 @@ def dashboard_stats(spark, sf_dir):
     with_ctes(
         RESULT_CTES,
         "SELECT file_id, modified_time, risk_score, CAST(total_findings AS BIGINT) AS total_findings,"
-        f" {sql.level_sql('risk_score', 'LOW')} AS risk_level FROM results WHERE total_findings > 0",
+        f" {sql.level_sql('risk_score', 'LOW')} AS risk_level, kinds FROM results"
+        " JOIN (SELECT file_id, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS kinds FROM ("
+        "SELECT file_id, entity_type, count(*) AS n FROM all_findings GROUP BY ALL) GROUP BY file_id)"
+        " USING (file_id) WHERE total_findings > 0",
     ),
 )
 def dashboard_results(spark, sf_dir):
-    return dashboard.flagged(*state_tables(spark, sf_dir)).drop("findings")
+    flagged = dashboard.flagged(*state_tables(spark, sf_dir))
+    return flagged.withColumn("kinds", map_text("findings")).drop("findings")
 
 
 @register(
@@ -722,11 +775,14 @@ def dashboard_results(spark, sf_dir):
         "SELECT count(*) AS total_files_scanned, count(*) FILTER (total_findings > 0) AS total_flagged_files,"
         " CAST(sum(total_findings) AS BIGINT) AS total_pii_findings,"
         " count(*) FILTER (risk_level = 'CRITICAL') AS critical,"
-        " count(*) FILTER (risk_level = 'HIGH') AS high FROM results",
+        " count(*) FILTER (risk_level = 'HIGH') AS high,"
+        " (SELECT string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) FROM"
+        " (SELECT entity_type, count(*) AS n FROM all_findings GROUP BY ALL)) AS kinds FROM results",
     ),
 )
 def dashboard_overview(spark, sf_dir):
-    return dashboard.overview(*state_tables(spark, sf_dir))
+    overview = dashboard.overview(*state_tables(spark, sf_dir))
+    return overview.withColumn("kinds", map_text("entity_breakdown")).drop("entity_breakdown")
 
 
 @register(
@@ -1259,22 +1315,34 @@ def local_mime(spark, sf_dir):
 
 @register(
     "local_folder_scan",
-    _scan_sql("SELECT 'local_item-' || item_id AS id, text || chr(10) AS text FROM benchmark"),
+    with_ctes(
+        sql.scan_ctes(
+            "SELECT CAST(item_id % 8 AS VARCHAR) AS id,"
+            " string_agg(text || chr(10), '' ORDER BY item_id) AS text FROM benchmark GROUP BY ALL"
+        ),
+        'SELECT entity_type, confidence, "start", "end", masked_value FROM findings',
+    ),
 )
 def local_folder_scan(spark, sf_dir):
-    """Every benchmark item written as a text file of its own, then scanned from disk."""
-    items = table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("stem"),
-        F.col("text").alias("value"),
-    )
+    """Benchmark items written to eight text files, then scanned from disk by name and suffix.
+
+    Spark names the files, so names are left out of the comparison, but for their form.
+    """
+    items = table(spark, sf_dir, "benchmark").repartition(8, F.col("item_id") % 8)
     folder = f"{shared_folder(spark)}/inbox"
-    items.write.partitionBy("stem").text(folder)
-    found = files.local_files(spark, f"{folder}/*", "*.txt")
-    # Spark names files itself; the folder carries the name the file should have had.
-    named = found.withColumn(
-        "file_id", F.concat(F.lit("local_"), F.regexp_extract("file_path", "/stem=([^/]+)/", 1))
-    )
-    return risk.findings_of_results(files.scan_files(named))
+    for part in range(8):
+        own = items.where(F.col("item_id") % 8 == part).coalesce(1).sortWithinPartitions("item_id")
+        own.select("text").write.mode("append").text(folder)
+    results = files.scan_local_folder(spark, folder)
+    return risk.findings_of_results(results.where("file_id LIKE 'local_part-%'")).drop("file_id")
+
+
+@register("missing_store", "SELECT 0::BIGINT AS scanned_count, 0::BIGINT AS findings_count, count(*) AS documents FROM documents")
+def missing_store(spark, sf_dir):
+    """Statistics of a state that was never written, beside the documents that wait."""
+    state = ScanState(spark, f"{shared_folder(spark)}/never")
+    stats = dashboard.stats(state.results(), state.findings()).drop("last_activity")
+    return stats.withColumn("documents", table(spark, sf_dir, "documents").agg(F.count("*")).scalar())
 
 
 # --- streaming ------------------------------------------------------------------------

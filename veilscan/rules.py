@@ -9,6 +9,7 @@ from pyspark.sql import Column
 
 from veilscan.functions import validators
 
+# How scores rise, and how far; characters looked at around a match.
 CONTEXT_BOOST = 0.15
 VALIDATED_BOOST = 0.55
 VALIDATED_CAP = 0.95

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,7 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="veilscan-"))
+        if app not in _LOCAL:  # removed with everything in it when the interpreter ends
+            _LOCAL[app] = tempfile.TemporaryDirectory(prefix="veilscan-")
+        base = _LOCAL[app].name
     return f"{base.rstrip('/')}/veilscan-{uuid.uuid4().hex}"
 
 
