@@ -141,6 +141,25 @@ def test_filters_on_results_do_not_scan_twice(spark, tmp_path):
     assert plan.count("regexp_replace") == once.optimizedPlan().toString().count("regexp_replace")
 
 
+def test_interval_dedup_over_blocks(spark, monkeypatch):
+    from veilscan.operators import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK_BITS", 3)
+    rng = random.Random(11)
+    rows = [(k, s, s + rng.choice([0, 3, 40]) if s is not None else 1) for k in ("a", None, "b") for s in rng.sample(range(500), 120)]
+    df = spark.createDataFrame(rows, "k string, start int, end int").repartition(3)
+    want = []
+    for key in ("a", None, "b"):
+        reach = None
+        for _, s, e in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            if reach is None or s > reach:
+                want.append((str(key), s, e))
+                reach = e
+    got = dedup_intervals(df, ["k"]).collect()
+    assert sorted((str(r.k), r.start, r.end) for r in got) == sorted(want)
+    assert dedup_intervals(df.limit(0), ["k"]).count() == 0
+
+
 def test_interval_dedup_agrees_with_naive_loop(spark):
     rng = random.Random(5)
     rows = []

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilscan.sources.workspace import save_table
+
+#: Rows of a block are this many at most, as a power of two.
+BLOCK_BITS = 16
+
 
 def dedup_intervals(
     df: DataFrame,
@@ -17,46 +23,86 @@ def dedup_intervals(
 ) -> DataFrame:
     """Leftmost interval wins within ``keys``; touching counts as overlapping.
 
-    Three steps keep hot keys small. Of all intervals with one start at most the best
-    can survive, so a map-side aggregate leaves one row per start. A running maximum
-    of ends then cuts each key into islands that cannot affect each other, and only
-    within an island the intervals are walked in order.
+    Of all intervals with one start at most the best can survive, so a map-side aggregate
+    leaves one row per start. These are sorted over all tasks and cut into blocks of bounded
+    size, so neither a hot key nor a long run of overlaps gathers in one task. Each block is
+    walked in order. A block that begins within the key of the block before needs the end of
+    the last interval kept there; such blocks are walked again until these ends hold. Walks
+    from different ends soon agree, so this takes a round or two. An interval without a
+    start or an end overlaps nothing and ends nothing.
     """
     payload = [c for c in df.columns if c not in keys]
     order = F.struct(*best_first, F.col(end), *[F.col(c) for c in payload if c not in (start, end)])
-    one_per_start = df.groupBy(*keys, start).agg(
+    best = df.groupBy(*keys, start).agg(
         F.min_by(F.struct(*[F.col(c) for c in payload]), order).alias("_hit")
     )
-    by_start = Window.partitionBy(*keys).orderBy(start)
-    reach = F.max(F.col("_hit")[end]).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    islands = (
-        one_per_start.withColumn("_reach", reach)
-        .withColumn("_opens", F.col("_reach").isNull() | (F.col(start) > F.col("_reach")))
-        .withColumn(
-            "_island",
-            F.max(F.when(F.col("_opens"), F.col(start))).over(
-                by_start.rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
-        .groupBy(*keys, "_island")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("_at"), "_hit"))).alias("_run"))
+    rows = best.select(*[F.col(c) if c in keys else F.col("_hit")[c].alias(c) for c in df.columns])
+    ranged = rows.repartitionByRange(*keys, start).sortWithinPartitions(*keys, start)
+    row = F.monotonically_increasing_id()
+    stored = save_table(
+        ranged.select("*", row.alias("_row"), F.shiftright(row, BLOCK_BITS).alias("_block")), "intervals"
     )
-    zero = F.struct(
-        F.lit(None).cast(df.schema[end].dataType).alias("reach"),
-        F.filter(F.col("_run"), lambda _: F.lit(False)).alias("kept"),
+    at = [stored.columns.index(c) for c in (*keys, start, end)]
+
+    # First and last key of each block: what a block may get from the one before.
+    edges = stored.groupBy("_block").agg(
+        F.min_by(F.struct(*keys), "_row").alias("low"), F.max_by(F.struct(*keys), "_row").alias("high")
     )
+    blocks = sorted((r["_block"], tuple(r["low"]), tuple(r["high"])) for r in edges.collect())
+    follows = {b[0]: a[0] for a, b in zip(blocks[:-1], blocks[1:], strict=True) if a[2] == b[1]}
+    leads = set(follows.values())
 
-    def walk(acc: Column, x: Column) -> Column:
-        return F.when(
-            acc["reach"].isNull() | (x["_at"] > acc["reach"]),
-            F.struct(
-                x["_hit"][end].alias("reach"), F.array_append(acc["kept"], x).alias("kept")
-            ),
-        ).otherwise(acc)
+    given: dict = {}
+    wanted = leads
+    while wanted:
+        asked = stored.where(F.col("_block").isin(list(wanted)))
+        ends = asked.groupBy("_block").applyInArrow(_ending(at, given), f"_block long, reach {_kind(df, end)}")
+        reached = {r["_block"]: r["reach"] for r in ends.collect()}
+        new = {b: reached[a] for b, a in follows.items() if a in reached and given.get(b) != reached[a]}
+        given.update(new)
+        wanted = leads & set(new)
 
-    kept = F.when(F.size("_run") == 1, F.col("_run")).otherwise(
-        F.aggregate("_run", zero, walk, lambda acc: acc["kept"])
-    )
-    return islands.select(*keys, F.explode(kept).alias("_k")).select(
-        *[F.col(c) if c in keys else F.col("_k._hit")[c].alias(c) for c in df.columns]
-    )
+    kept = stored.groupBy("_block").applyInArrow(_kept(at, given), stored.schema)
+    return kept.select(*df.columns)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _walk(table: pa.Table, at: list[int], reach) -> tuple[list[bool], object]:
+    """Which rows are kept, and the last end kept for the last key."""
+    *keys, starts, ends = (table.column(i).to_pylist() for i in at)
+    keep, last = [], None
+    for i, key in enumerate(zip(*keys, strict=True)):
+        if key != last:
+            if last is not None:
+                reach = None
+            last = key
+        free = reach is None or starts[i] is None or starts[i] > reach
+        keep.append(free)
+        if free and ends[i] is not None and starts[i] is not None:
+            reach = ends[i]
+    return keep, reach
+
+
+def _in_order(table: pa.Table) -> tuple[pa.Table, int]:
+    return table.sort_by("_row"), table.column("_block")[0].as_py()
+
+
+def _ending(at: list[int], given: dict):
+    def run(table: pa.Table) -> pa.Table:
+        rows, block = _in_order(table)
+        _, reach = _walk(rows, at, given.get(block))
+        return pa.table({"_block": pa.array([block], pa.int64()), "reach": pa.array([reach], rows.schema.types[at[-1]])})
+
+    return run
+
+
+def _kept(at: list[int], given: dict):
+    def run(table: pa.Table) -> pa.Table:
+        rows, block = _in_order(table)
+        keep, _ = _walk(rows, at, given.get(block))
+        return rows.filter(pa.array(keep))
+
+    return run

@@ -460,6 +460,25 @@ def dedup_intervals(spark, sf_dir):
     )
 
 
+# Every interval overlaps the next ones: one key, one island over the whole table.
+@register(
+    "dedup_intervals_one_key",
+    with_ctes(
+        "iv AS (SELECT s, min(s + 5 + q) AS e FROM (SELECT l_orderkey * 10 + l_linenumber AS s,"
+        " CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY s), kept AS ("
+        + sql.greedy_sql("iv", "1", "{'s': s, 'e': e}", "s").replace("GROUP BY 1", "")
+        + ")",
+        'SELECT h.s AS "start", h.e AS "end" FROM kept',
+    ),
+)
+def dedup_intervals_one_key(spark, sf_dir):
+    start = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    intervals = table(spark, sf_dir, "lineitem").select(
+        F.lit(1).alias("k"), start.alias("start"), (start + 5 + F.col("l_quantity").cast("bigint")).alias("end")
+    )
+    return dedup.dedup_intervals(intervals, ["k"]).select("start", "end")
+
+
 # --- per-file results and reports ---------------------------------------------------
 
 WITHHELD = "Content withheld by its owner"
