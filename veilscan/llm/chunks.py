@@ -25,7 +25,7 @@ class _Places(dict):
 class ChunkTable:
     """``encode`` maps new chunks to their ids in turn and the number of ids of each."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 100_000):
         self.encode, self.limit = encode, limit
         self.clear()
 

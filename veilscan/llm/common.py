@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -79,7 +80,7 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts take about ``limit`` bytes together, one row at least."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(sizes)])
@@ -90,6 +91,15 @@ def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Ite
         at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and others need the memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def single_thread() -> None:
     """Libraries called in a task use that task's core only."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

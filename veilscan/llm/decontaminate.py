@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.llm.common import byte_slices, numbered, small_batches
+from veilscan.llm.common import byte_slices, give_back, numbered, small_batches
 from veilscan.llm.fmindex import Index
 
 #: ASCII characters that are no word characters become blanks; bytes of other characters stay.
@@ -143,7 +143,7 @@ def search_batch(batch: pa.RecordBatch, at: int, phrases: Phrases) -> list[pa.Ar
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 500_000, shard_bytes: int = 3 << 20, text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 500_000, shard_bytes: int = 2 << 20, text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with ``n_words, runs, spans, items`` (input columns of these names give way)."""
     names = [f.name for f in ADDED]
@@ -174,6 +174,7 @@ def searcher(held, at: int, kept: int, names: list[str], shard_bytes: int):
         for whole in batches:
             for batch in byte_slices(whole, at, shard_bytes):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *search_batch(batch, at, phrases)], names=names)
+        give_back()
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.llm.common import byte_slices, numbered, small_batches
+from veilscan.llm.common import byte_slices, give_back, numbered, small_batches
 
 UNKNOWN = "und"
 
@@ -214,8 +214,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     def run(batches):
         own = held.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
                 vectors = [vector(t) if t and own else None for t in batch.column(at).to_pylist()]
                 names, scores = [UNKNOWN] * len(vectors), np.zeros(len(vectors))
                 if known := [i for i, v in enumerate(vectors) if v is not None]:
@@ -225,6 +225,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                         names[i] = name
                 columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
     return kept.mapInArrow(run, schema)
 

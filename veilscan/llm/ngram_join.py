@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import byte_slices, list_column, small_batches, store
+from veilscan.llm.common import byte_slices, give_back, list_column, small_batches, store
 
 FREQUENT = 64
 SMALL = 64
@@ -42,7 +42,7 @@ ROUNDS = 3
 MOST_BUCKETS = 1 << 21
 BUCKET_BITS = 34
 #: n-grams that a task sorts and sends at once.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Bits of the filter that tells which sets are asked for.
 FILTER_BITS = 25
 BLOCKS = 4
@@ -56,7 +56,7 @@ SEPARATORS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 NUMBERS = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 NUMBERS[65:91] = NUMBERS[97:123]
 #: Texts of so many bytes are hashed at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 class Shingler:
@@ -164,6 +164,7 @@ def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
                     yield flush()
                     held, size = [], 0
         yield flush()
+        give_back()
 
     def often(table: pa.Table) -> pa.Table:
         values, counts = np.unique(np.concatenate([decoded(d) for d in table["data"].to_pylist()]), return_counts=True)
@@ -211,6 +212,7 @@ def heads(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) ->
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(rare, pa.int64()), lists],
                     names=names,
                 )
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, "id long, size long, class long, rare long, head array<long>")
 
@@ -340,6 +342,7 @@ def sets_of(docs: DataFrame, n: int, classes: DataFrame) -> DataFrame:
                 flat = np.concatenate(list(kept.values()) or [np.zeros(0, dtype=np.int64)])
                 lists = list_column(flat, np.array([len(x) for x in kept.values()], dtype=np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), lists], names=["class", "grams"])
+        give_back()
 
     rows = docs.where("id is not null").select("text").mapInArrow(run, "class long, grams array<long>")
     return rows.groupBy("class").agg(F.first("grams").alias("grams"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm.chunks import ChunkTable, in_order, sums
-from veilscan.llm.common import byte_slices, list_column, small_batches
+from veilscan.llm.common import byte_slices, give_back, list_column, small_batches
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -115,7 +115,9 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> D
                 ids, lengths, decoded = own.run([t or "" for t in batch.column(at).to_pylist()])
                 columns = [*batch.columns, list_column(ids, lengths, pa.int32()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        own.table.clear()  # a worker lives on; its other tasks need the memory
+        own.table.clear()
+        own.decoded = []
+        give_back()
 
     return kept.mapInArrow(run, schema)
 

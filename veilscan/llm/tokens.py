@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.llm.chunks import ChunkTable, in_order, sums
-from veilscan.llm.common import byte_slices, list_column, shared_folder, single_thread, small_batches
+from veilscan.llm.common import byte_slices, give_back, list_column, shared_folder, single_thread, small_batches
 
 #: Before a single space between two characters that are no white space, every pre-tokenizer of the
 #: byte-level kind starts a new token; so texts may be cut there.
@@ -126,7 +126,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, layout
                     [batch.column(0), batch.column(3), pa.array(starts), pa.array(n), list_column(ids, n, pa.int32())],
                     names=["doc_id", "shard", "before", "n_tokens", "ids"],
                 )
-        own.table.clear()  # a worker lives on; its other tasks need the memory
+        own.table.clear()
+        give_back()
 
     ranged.mapInArrow(run, SCHEMA).write.options(**layout.options()).parquet(f"{path}/tokens")
     shards = spark.read.schema(SCHEMA).parquet(f"{path}/tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
