@@ -28,11 +28,11 @@ CHECKS = {
 
 def thin_out(hits):
     """Hits are (entity, start, -confidence, rule, end, mask)."""
-    kept = []
+    kept, reach = [], {}
     for h in sorted(hits):
-        clash = [k for k in kept if k[0] == h[0] and k[1] <= h[4] and h[1] <= k[4]]
-        if not clash:
+        if h[1] > reach.get(h[0], -1):
             kept.append(h)
+            reach[h[0]] = h[4]
     return kept
 
 
