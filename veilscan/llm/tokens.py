@@ -62,7 +62,7 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.table = ChunkTable(self.encode)
+        self.table = ChunkTable(self.encode, limit=300_000)
         space = "\u0120"  # how byte-level vocabularies write a space
         self.spaced = np.array([(self.model.id_to_token(i) or "").startswith(space) for i in range(self.model.get_vocab_size())])
 
@@ -81,7 +81,7 @@ class IdEncoder:
         return in_order(groups)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def run(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         chunks: list[str] = []
