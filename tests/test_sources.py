@@ -40,6 +40,27 @@ def test_csv(spark):
     assert got == {"csv": 'a b c\n\ntwo\nlines say "hi"\n\nlast', "same": "가 나"}
 
 
+def test_csv_reads_what_the_standard_reader_reads(spark):
+    import csv
+    import io
+    import random
+
+    def plain(text):
+        try:
+            return "\n".join(" ".join(filter(None, map(str.strip, row))) for row in csv.reader(io.StringIO(text)))
+        except csv.Error:
+            return ""
+
+    rng = random.Random(8)
+    parts = ["a", " ", ",", '"', '""', "\n", "\r\n", "\r", "é ", "\u3000", '"x, y"', '"q ""r"" ', ",,", '"'] + ["b"] * 3
+    texts = ["", "\n", "a\n", "a\n\n", "a\n,", ",", '""', '"', '"a', '"a\n', 'a"b"', '"a"b"c,d', "a\rb", "a\r\n", "a\r"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", files.flatten_csv(F.col("t")).alias("x")).collect()}
+    bad = [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t)]
+    assert not bad, bad[:5]
+
+
 def test_own_extractor(spark):
     df = spark.createDataFrame([("a", "application/pdf", bytearray(b"x@y.example"))],
                                "file_id string, mime_type string, content binary")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Callable, Mapping
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from veilscan.functions.regex import SPACE
 from veilscan.functions.text import has_content
 from veilscan.operators.scan import scan_rows
 from veilscan.params import MIME_EXTENSIONS, ScanParams
@@ -69,22 +68,6 @@ def _decode_legacy(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
-@F.pandas_udf(StringType())
-def _flatten_csv(text: pd.Series) -> pd.Series:
-    """Cells of a row joined by blanks, rows by line ends; unreadable CSV gives ''."""
-
-    def flatten(source):
-        if source is None:
-            return None
-        try:
-            rows = csv.reader(io.StringIO(source))
-            return "\n".join(" ".join(filter(None, map(str.strip, row))) for row in rows)
-        except csv.Error:
-            return ""
-
-    return text.map(flatten)
-
-
 def plain_text(content: Column) -> Column:
     """UTF-8 stays in the JVM; only other bytes are handed to Python's codecs."""
     text = content.cast("string")
@@ -92,8 +75,54 @@ def plain_text(content: Column) -> Column:
     return F.when(valid, text).otherwise(_decode_legacy(F.when(~valid, content)))
 
 
+# A cell (quoted with what follows its quotes, or plain) and what ends it. Possessive, so linear.
+CELL = r'\G(?:"([^"]*+(?:""[^"]*+)*+)"?([^,\r\n]*+)|((?!")[^,\r\n]*+))(,|\r*+\n|\r*+\z)'
+# Two noncharacters that stand for the end of a cell and of a row; texts lose theirs.
+CELL_END, ROW_END = "\ufdd0", "\ufdd1"
+
+
+def flatten_csv(text: Column) -> Column:
+    """Cells of a row joined by blanks, rows by line ends; unreadable CSV gives ''.
+
+    Cells are stripped and empty ones left out; a row without any stays as an empty line.
+    Unreadable is a carriage return inside a plain cell.
+    """
+    text = F.translate(text, CELL_END + ROW_END, "\ufffd\ufffd")
+    group = lambda i: F.regexp_extract_all(text, F.lit(CELL), F.lit(i))
+
+    def cell(whole: Column, body: Column, last: Column) -> Column:
+        return F.struct(whole.alias("whole"), body.alias("body"), last.alias("last"))
+
+    bodies = F.zip_with(
+        F.zip_with(group(1), group(2), lambda q, t: F.concat(F.replace(q, F.lit('""'), F.lit('"')), t)),
+        group(3),
+        lambda quoted, plain: F.concat(quoted, plain),
+    )
+    read = F.zip_with(F.zip_with(group(0), bodies, lambda w, b: F.struct(w.alias("w"), b.alias("b"))), group(4),
+                      lambda x, last: cell(x["w"], x["b"], last))
+    read = F.filter(read, lambda c: c["whole"] != "")
+    joined = F.array_join(
+        F.transform(
+            read,
+            lambda c: F.concat(
+                F.regexp_replace(c["body"], f"^[{SPACE}]+|[{SPACE}]+\\z", ""),
+                F.when(c["last"] == ",", CELL_END).when(F.endswith(c["last"], F.lit("\n")), ROW_END).otherwise(""),
+            ),
+        ),
+        "",
+    )
+    joined = F.regexp_replace(joined, f"{CELL_END}+", CELL_END)
+    joined = F.regexp_replace(joined, f"(?<=^|{ROW_END}){CELL_END}|{CELL_END}(?={ROW_END}|\\z)", "")
+    # The last row's end is no further row.
+    ended = F.endswith(F.element_at(read, -1)["last"], F.lit("\n"))
+    joined = F.when(ended, F.regexp_replace(joined, f"{ROW_END}\\z", "")).otherwise(joined)
+    length = F.aggregate(read, F.lit(0), lambda n, c: n + F.length(c["whole"]))
+    flat = F.translate(joined, CELL_END + ROW_END, " \n")
+    return F.when(text == "", "").when(length < F.length(text), "").otherwise(flat)
+
+
 def csv_text(content: Column) -> Column:
-    return _flatten_csv(plain_text(content))
+    return flatten_csv(plain_text(content))
 
 
 # Which extractor serves which type. PDF and DOCX need a codec of the
