@@ -157,7 +157,7 @@ def recover_entries(spark: SparkSession, path: str) -> DataFrame:
     Files are split; an entry may have any length. The text of an entry is put together from its
     pieces, and only for entries that close.
     """
-    pieces = save_table(_pieces(spark, path), "pieces")
+    pieces = _pieces(spark, path)
     entries = _entries(pieces)
     ends = entries.select("source", "ord", "k", "tail").join(_closings(pieces, entries), ["source", "k"])
     run = ends.where("close is not null").select(
