@@ -42,7 +42,7 @@ ROUNDS = 3
 MOST_BUCKETS = 1 << 21
 BUCKET_BITS = 34
 #: n-grams that a task sorts and sends at once.
-FLUSH = 1 << 19
+FLUSH = 1 << 20
 #: Bits of the filter that tells which sets are asked for.
 FILTER_BITS = 25
 BLOCKS = 4
@@ -124,20 +124,21 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - BUCKET_BITS)
 
 
-# Sorted numbers as 16-bit steps; a step of 65535 goes on in the next one.
+# Sorted numbers as the first of them and 16-bit steps; a step of 65535 goes on in the next one.
 
 
 def coded(values: np.ndarray) -> bytes:
-    steps = np.diff(values, prepend=np.uint64(0)).astype(np.int64)
+    steps = np.diff(values).astype(np.int64)
     over, rest = steps // 65535, steps % 65535
-    out = np.full(len(values) + int(over.sum()), 65535, dtype="<u2")
+    out = np.full(len(steps) + int(over.sum()), 65535, dtype="<u2")
     out[np.cumsum(over + 1) - 1] = rest
-    return out.tobytes()
+    return values[:1].astype("<u8").tobytes() + out.tobytes()
 
 
 def decoded(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, dtype="<u2").astype(np.int64)
-    return np.cumsum(steps)[steps != 65535]
+    first = np.frombuffer(data, dtype="<u8", count=1).astype(np.int64)
+    steps = np.frombuffer(data, dtype="<u2", offset=8).astype(np.int64)
+    return np.concatenate([first, first + np.cumsum(steps)[steps != 65535]])
 
 
 def frequent_buckets(docs: DataFrame, n: int) -> np.ndarray:
