@@ -197,3 +197,22 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("runs") > 0).alias("contaminated"),
     )
+
+
+DIGESTS_SQL = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+     w AS (SELECT kind, id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+     b AS (SELECT DISTINCT id AS item, len(w[i:i + 9]) AS n, array_to_string(w[i:i + 9], ' ') AS p
+           FROM (SELECT id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM w WHERE kind = 'b' AND len(w) > 0)),
+     d AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE kind = 'd'),
+     h AS (SELECT d.id, d.i, b.n, b.item FROM (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+           FROM d, (SELECT DISTINCT n FROM b) WHERE i + n - 1 <= len(w)) d JOIN b USING (n, p)),
+     x AS (SELECT id, count(DISTINCT pos) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY id),
+     y AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM h) GROUP BY id)
+SELECT w.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN x ON w.id = x.id LEFT JOIN y ON w.id = y.id WHERE kind = 'd'
+"""

@@ -482,3 +482,17 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
 def digests(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs).select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")
+
+
+DIGESTS_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+           FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+     o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
+     r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id
+"""

@@ -35,6 +35,9 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digests(read(spark, sf_dir, "documents"))
 
 
+ORACLES["op2_ngram_join"] = ngram_join.DIGESTS_SQL
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -45,6 +48,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+ORACLES["op4_decontamination"] = decontaminate.DIGESTS_SQL
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(read(spark, sf_dir, "documents"))
