@@ -354,6 +354,44 @@ def test_secret_bombs_and_junk():
         assert isinstance(secrets.secrets(junk), list)
 
 
+def test_secrets_in_any_base64():
+    import base64
+    import gzip
+
+    secret = "password=hunter2hunter2"
+    coded = lambda data: base64.b64encode(data).decode()
+    found = lambda t: [(t[a:b], k, base) for a, k, b, base in secrets.secrets(t)]
+    # Any charset, any control bytes.
+    for data in (secret.encode("utf-16"), secret.encode("utf-16-be"), b"caf\xe9 " + secret.encode(), b"\x1b[1m\0" + secret.encode() + b"\xff"):
+        assert found(f"a ({coded(data)})") == [(coded(data), 0, False)]
+    # Out of step behind other characters of the alphabet.
+    zipped = coded(gzip.compress(b"some text before it, then " + secret.encode()))
+    for run in (coded(secret.encode() + b"!"), coded(secret.encode("utf-16")), zipped):
+        for before in ("org/api/", "x-", "ab_", "abcd/e", "k/y"):
+            assert found(f"https://x.{before}{run} y") == [(before + run, 0, False)]
+    # Over line ends.
+    lines = base64.encodebytes(b"x" * 50 + secret.encode() + b"y " * 100).decode()
+    assert found(f"see:\n{lines}\nend") == [("\n".join(lines.split("\n")[:2]), 0, False)]
+    rng = random.Random(6)
+    data = gzip.compress(bytes(rng.choices(b"abcdefghij ", k=400)) + secret.encode())
+    for end in ("\n", "\r\n", "\n  "):
+        lines = base64.encodebytes(data).decode().strip().replace("\n", end)
+        assert found(f"see: {lines}") == [(lines, 0, False)]
+
+
+def test_secrets_in_large_inflated_data(monkeypatch):
+    import base64
+    import zlib as z
+
+    monkeypatch.setattr(secrets, "INFLATE_LIMIT", 1 << 20)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    monkeypatch.setattr(secrets, "STEP", 1 << 18)
+    for at in (0, (1 << 20) - 9, (1 << 20) + (1 << 18) - 9, 3 << 20):
+        data = b" " * at + b"password=hunter2hunter2" + b" " * (3 << 20)
+        text = "a " + base64.b64encode(z.compress(data, 9)).decode()
+        assert [k for _, k, _, _ in secrets.secrets(text)] == [0, 3]
+
+
 def test_secrets_of_edge_rows(spark):
     got = secrets.digests(documents(spark)).collect()
     assert len(got) == len(EDGE_ROWS) and {r.spans for r in got} == {""}

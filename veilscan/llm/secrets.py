@@ -2,20 +2,24 @@
 
 Every text is scanned as it is; these are its base spans. Then its encoded layers are unwrapped: percent
 escapes and Unicode escapes are decoded in place over the whole layer, base64 runs become layers of their
-own, inflated first if they hold gzip or zlib data. Each new layer is scanned again and unwrapped in turn,
-until no new layer comes up. A layer whose text and place were seen before is not taken again, which ends
-cycles. Every character of a layer knows the part of the original text that it stands for, so spans of
-deep layers come back as spans of the original; a match in a base64 layer covers the whole run.
+own. Each new layer is scanned again and unwrapped in turn, until no new layer comes up. A layer whose text
+and place were seen before is not taken again, which ends cycles. Every character of a layer knows the part
+of the original text that it stands for, so spans of deep layers come back as spans of the original; a match
+in a base64 layer covers the whole run, or its lines in a run of several.
+
+A base64 run goes on over line ends and is decoded from each of its first four characters, so that data
+behind other characters of the alphabet (as in a path) is decoded in step. Decoded data is read as Latin-1,
+which has all ASCII of UTF-8 too, and as UTF-16 where it alternates with zeros, whatever other bytes are in
+it; all patterns are ASCII. gzip and zlib data is inflated wherever it starts, in its turn too.
 
 Positions are code points, ends exclusive. Rows without a text count as empty texts: no spans. Data that
-would inflate to more than ``INFLATE_LIMIT`` bytes is not unwrapped; its run is reported as a span of
-kind ``packed`` instead, so nothing oversized passes unseen.
+inflates to more than ``INFLATE_LIMIT`` bytes is scanned in blocks of that size that overlap by ``OVERLAP``;
+its run is reported as a span of kind ``packed`` besides.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -32,6 +36,8 @@ from veilscan.llm.common import byte_slices, small_batches
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "packed")
 INFLATE_LIMIT = 32 << 20
+OVERLAP = 8 << 20
+STEP = 1 << 20
 
 # Fixed patterns.
 ASSIGN = re.compile(
@@ -42,9 +48,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs of 24 at least; shorter runs would be
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_NEXT = r"(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]++)"
+BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+{_NEXT}*+|[A-Za-z0-9+/_-]++{_NEXT}++)={{0,2}}")
 URL_SAFE = bytes.maketrans(b"-_", b"+/")
-CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f�]")
+SHORTEST = 12  # characters of the shortest secret, "token=abcdef"; no encoding of one is shorter or not ASCII
+ASCII = re.compile(rb"[\x00-\x7f]{12}")
+WIDE = re.compile(rb"(?:[\x01-\x7f]\x00){12,}+|(?:\x00[\x01-\x7f]){12,}+")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 SPANS = T.ArrayType(
     T.StructType(
@@ -91,20 +102,26 @@ def escape_chars(run: str) -> list[tuple[str, int]]:
 
 
 class Layer:
-    """A text, and for each character the first and last end of its place in the original."""
+    """A text, and for each character the first and last end of its place in the original, or one place for all."""
 
-    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
+    def __init__(self, text: str, starts: np.ndarray | int, ends: np.ndarray | int):
         self.text, self.starts, self.ends = text, starts, ends
+        self.one = not isinstance(starts, np.ndarray)
 
     def key(self) -> bytes:
-        place = f"{self.starts[0]}:{self.ends[-1]}:".encode() if self.text else b""
-        return hashlib.blake2b(place + self.text.encode(), digest_size=16).digest()
+        first, last = (self.starts, self.ends) if self.one else (self.starts[0], self.ends[-1])
+        return hashlib.blake2b(f"{first}:{last}:".encode() + self.text.encode(), digest_size=16).digest()
 
     def place(self, start: int, end: int) -> tuple[int, int]:
+        if self.one:
+            return self.starts, self.ends
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
     def rewritten(self, pattern: re.Pattern, chars) -> Layer | None:
         """This layer with all matches decoded in place, None if there are none."""
+        if self.one:
+            text = pattern.sub(lambda m: "".join(c for c, _ in chars(m.group())), self.text)
+            return None if text == self.text else Layer(text, self.starts, self.ends)
         text, starts, ends, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             text.append(self.text[at : m.start()])
@@ -123,46 +140,94 @@ class Layer:
         return Layer("".join(text), np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
 
 
-def inflate(data: bytes) -> bytes | None:
-    """All of gzip or zlib data (the cut one as far as it goes); None beyond the limit."""
-    out, size = [], 0
-    while data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        z = zlib.decompressobj(47)
-        try:
-            out.append(z.decompress(data, INFLATE_LIMIT + 1 - size))
-        except zlib.error:
-            break
-        size += len(out[-1])
-        if size > INFLATE_LIMIT:
-            return None
-        data = z.unused_data
-    return b"".join(out)
-
-
-def base64_text(run: str) -> str | None:
-    """The text in a base64 run; None if it holds none, "" if it holds too much."""
-    raw = run.rstrip("=").encode().translate(URL_SAFE)
-    if len(raw) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(raw + b"=" * (-len(raw) % 4))
-    except binascii.Error:
-        return None
-    packed = False
-    seen: set[bytes] = set()
-    while (data[:2] == b"\x1f\x8b" or data[:2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")) and data not in seen:
-        seen.add(data)
-        inner = inflate(data)
-        if inner is None:
-            return ""
-        if not inner:
-            break
-        data, packed = inner, True
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return data.decode("latin-1") if packed else None
-    return text if packed or not CONTROL.search(text) else None
+def inflate(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """Inflated pieces of the members at ``at`` (a cut one as far as it goes), and where in ``data`` each ends."""
+    while PACKED.match(data, at):
+        z, rest = zlib.decompressobj(47), data[at:]
+        while not z.eof:
+            try:
+                out = z.decompress(rest, STEP)
+            except zlib.error:
+                return
+            rest = z.unconsumed_tail
+            if not out and not rest and not z.eof:
+                return
+            yield out, len(data) - len(z.unused_data if z.eof else rest)
+        at = len(data) - len(z.unused_data)
+
+
+def streams(data: bytes) -> Iterator[tuple[bytes, int, int, bool]]:
+    """All inflated blocks of the gzip and zlib data in ``data``: block, place in it, whether beyond the limit."""
+    at = 0
+    while m := PACKED.search(data, at):
+        kept, fresh, end, large = bytearray(), 0, m.end(), False
+        for out, end in inflate(data, m.start()):
+            kept += out
+            fresh += len(out)
+            if len(kept) > INFLATE_LIMIT:
+                large = True
+                yield bytes(kept), m.start(), end, True
+                del kept[:-OVERLAP]
+                fresh = 0
+        if fresh:
+            yield bytes(kept), m.start(), end, large
+        at = m.start() + 1
+
+
+class Places:
+    """Places in the original of the characters of a base64 run: those of the line that they stand in."""
+
+    def __init__(self, layer: Layer, lines: list[tuple[int, int]]):
+        places = [layer.place(a, b) for a, b in lines]
+        self.starts, self.ends = (np.array(x) for x in zip(*places, strict=True))
+        self.till = np.cumsum([b - a for a, b in lines])
+        self.one = len(set(places)) == 1
+
+    def of(self, first, last, offset: int):
+        """Place of bytes from ``first`` to ``last``, decoded from ``offset`` on."""
+        line = lambda at: np.minimum(np.searchsorted(self.till, at, side="right"), len(self.till) - 1)
+        return self.starts[line(offset + first * 8 // 6)], self.ends[line(offset + (last * 8 + 7) // 6)]
+
+
+def base64_layers(layer: Layer, m: re.Match, found: set) -> Iterator[Layer]:
+    """Layers of what a base64 run holds; places of data beyond the limit go to ``found``."""
+    lines = [r.span() for r in RUN.finditer(layer.text, m.start(), m.end())]
+    raw = "".join(layer.text[a:b] for a, b in lines).encode().translate(URL_SAFE)
+    lines[-1] = lines[-1][0], m.end()
+    places = None
+    for offset in range(4):
+        own = raw[offset : len(raw) - ((len(raw) - offset) % 4 == 1)]
+        if len(own) * 3 // 4 < SHORTEST:
+            continue
+        data = base64.b64decode(own + b"=" * (-len(own) % 4))
+        if not ASCII.search(data) and not PACKED.search(data):
+            continue
+        places = places or Places(layer, lines)
+        if ASCII.search(data):
+            if places.one:
+                start, end = int(places.starts[0]), int(places.ends[0])
+            else:
+                at = np.arange(len(data))
+                start, end = places.of(at, at, offset)
+            yield Layer(data.decode("latin-1"), start, end)
+            for w in WIDE.finditer(data):
+                start, end = places.of(w.start(), w.end() - 1, offset)
+                yield Layer(w[0].replace(b"\0", b"").decode(), int(start), int(end))
+        for block, first, last, large in streams(data):
+            start, end = map(int, places.of(first, last - 1, offset))
+            inner, seen = [(block, large)], set()
+            while inner:
+                block, large = inner.pop()
+                if large:
+                    found.add((start, 3, end))
+                if (key := hashlib.blake2b(block, digest_size=16).digest()) in seen:
+                    continue
+                seen.add(key)
+                if ASCII.search(block):
+                    yield Layer(block.decode("latin-1"), start, end)
+                    for w in WIDE.finditer(block):
+                        yield Layer(w[0].replace(b"\0", b"").decode(), start, end)
+                inner += [(b, big) for b, _, _, big in streams(block)]
 
 
 def unwrapped(layer: Layer, found: set) -> Iterator[Layer]:
@@ -170,13 +235,7 @@ def unwrapped(layer: Layer, found: set) -> Iterator[Layer]:
         if any(s in layer.text for s in sign) and (new := layer.rewritten(pattern, chars)):
             yield new
     for m in BASE64.finditer(layer.text):
-        if (text := base64_text(m.group())) is None:
-            continue
-        start, end = layer.place(m.start(), m.end())
-        if text == "":
-            found.add((start, 3, end))
-        else:
-            yield Layer(text, np.full(len(text), start), np.full(len(text), end))
+        yield from base64_layers(layer, m, found)
 
 
 def secrets(text: str) -> list[tuple[int, int, int, bool]]:
