@@ -51,6 +51,16 @@ HTML = {
     "<td>q</td>": "q",
     "<div>" * 3000 + "deep": "deep",
     "": "",
+    "<html><head><title>T</title><p>Hello": "Hello",
+    "<head><meta charset=x><style>a</style>\n<title>T</title>Hi<title>no</title> you</head><body>x": "Hi youx",
+    "<head><template><p>no</p></template><noscript>no</noscript><link rel=x><a>yes</a>": "yes",
+    "a<svg><title>no</title><defs><path d='x'/><text>no</text></defs><text>one</text><text>two</text></svg>b": "a\none\ntwo\nb",
+    "<svg><style/><defs/><g><path/>x</g></svg> <math><semantics><mi>y</mi><annotation>no</annotation></semantics></math>": "x y",
+    "<svg><defs><p>out": "out",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes<i>too</i></b>no<br></div>z": "yestoo\nz",
+    "<div style='display:none'>no<b style='visibility:visible'>no</b></div><i style='backface-visibility:hidden'>yes</i>": "yes",
+    "<table style='visibility:hidden'>no<tr><td>no<td style='visibility:visible'>q<tr>no</table>": "q",
+    "<ol><li>a<li style='visibility:hidden'>no<li>c</ol>": "1. a\n3. c",
 }
 
 

@@ -2,9 +2,10 @@
 
 The builder adds implied tags (an open paragraph, list item, option, row or cell ends where the next one
 starts; cells get a row and a table), ignores end tags that match nothing, and closes what a matching
-one leaves open. Elements deeper than ``DEEPEST`` join their parent, so no nesting is too deep and no text
+one leaves open. A head ends before text and before tags that cannot stand in it. Elements deeper than ``DEEPEST`` join their parent, so no nesting is too deep and no text
 is lost. Visibility rules drop what a browser does not show: head, scripts, styles, templates, comments,
-``hidden``, ``display:none`` and ``visibility:hidden``, closed details but for their summary.
+``hidden``, ``display:none`` and ``visibility:hidden`` (but what is ``visible`` again inside), closed details
+but for their summary. Texts of drawings and formulas are kept, without what these do not show.
 
 Blocks get lines of their own, paragraphs, headings, lists and tables a blank line around them. List items
 are numbered or dashed and indented by level. Cells of a table are padded to columns, over spans of rows and
@@ -27,7 +28,16 @@ DEEPEST = 150
 # Fixed sets of element names.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
-INVISIBLE = {"head", "script", "style", "template", "title", "meta", "link", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "svg", "math", "datalist"}
+INVISIBLE = {"head", "script", "style", "template", "title", "meta", "link", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "datalist"}
+#: What may stand in a head; anything else, and text, ends it.
+IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template"}
+#: What drawings and formulas hold but do not show, by the name of the outer element.
+UNSHOWN = {
+    "svg": {"desc", "metadata", "defs", "symbol", "clippath", "mask", "pattern", "marker", "lineargradient", "radialgradient", "filter"},
+    "math": {"annotation", "annotation-xml"},
+}
+#: Inside of these HTML goes on within a drawing or formula; elsewhere in it, a tag of ``BREAKOUT`` ends it.
+HTML_AGAIN = {"foreignobject", "desc", "title", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "pre", "blockquote", "figure", "hr", "fieldset"}
 BLOCK = SPACED | {
     "html", "body", "div", "section", "article", "aside", "nav", "header", "footer", "main", "address", "form", "details", "summary",
@@ -50,18 +60,30 @@ ENDS = {
 ENDS_PARAGRAPH = BLOCK - {"html", "body", "li", "dt", "dd", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup"}
 #: An end tag or a paragraph's implied end does not reach out of these.
 SCOPES = {"table", "td", "th", "caption", "template"}
+BREAKOUT = {
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6",
+    "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike",
+    "sub", "sup", "table", "tt", "u", "ul", "var",
+}
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>=]++)(?:\s*+=\s*+("[^"]*"?|'[^']*'?|[^\s>]*+))?)?""")
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+HIDDEN_STYLE = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.IGNORECASE)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "shown", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
+        #: Visibility, which a child may turn on again, unlike ``hidden``.
+        self.shown = parent is None or parent.shown
+        if "style" in attrs and (said := VISIBILITY.findall(attrs["style"])):
+            self.shown = said[-1].lower() == "visible"
+        #: The drawing or formula ("svg", "math") that children belong to.
+        self.foreign = tag if tag in UNSHOWN else parent.foreign if parent and tag not in HTML_AGAIN else ""
 
     def hidden(self) -> bool:
         return (
@@ -69,6 +91,7 @@ class Node:
             or "hidden" in self.attrs
             or bool(HIDDEN_STYLE.search(self.attrs.get("style", "")))
             or (self.tag == "dialog" and "open" not in self.attrs)
+            or "\0unshown" in self.attrs
         )
 
 
@@ -78,10 +101,20 @@ class Builder:
         self.open = [self.root]
 
     def text(self, text: str) -> None:
+        if self.open[-1].tag == "head" and not SPACES.fullmatch(text):
+            self.end_head()
         self.open[-1].children.append(text)
 
-    def push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
+    def end_head(self) -> None:
+        self.end({"head"}, set())
+        self.push("body", {})
+
+    def push(self, tag: str, attrs: dict[str, str]) -> None:
+        parent = self.open[-1]
+        if tag in UNSHOWN.get(parent.foreign, ()):
+            attrs = {**attrs, "\0unshown": ""}
+        node = Node(tag, attrs, parent)
+        parent.children.append(node)
         if node.tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
@@ -94,13 +127,25 @@ class Builder:
             if self.open[i].tag in within:
                 return
 
+    def foreign_child(self) -> bool:
+        """Whether the innermost element belongs to a drawing or formula, where ``/>`` ends it."""
+        return self.open[-1].tag in UNSHOWN or (len(self.open) > 1 and bool(self.open[-2].foreign))
+
     def start_tag(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in ("html", "body") and any(n.tag == tag for n in self.open):
             return
+        if tag in BREAKOUT:
+            while self.open[-1].foreign:
+                self.end({self.open[-1].tag}, set())
+        if tag == "head" and any(n.tag in ("head", "body") for n in self.open):
+            return
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            if tag in ("html", "body", "frameset"):
+                self.end({"head"}, set())
+            else:
+                self.end_head()
         if tag in ENDS_PARAGRAPH or tag in ("li", "dt", "dd"):
             self.end({"p"}, SCOPES | {"li", "ul", "ol", "dl", "button"} if tag in ("li", "dt", "dd") else SCOPES | {"button"})
-        if tag == "body":
-            self.end({"head"}, set())
         if tag == "a":
             self.end({"a"}, SCOPES | BLOCK)
         if tag in ENDS:
@@ -111,8 +156,8 @@ class Builder:
                 self.end({"tr"}, {"table"})
         if tag in ("td", "th") and self.open[-1].tag != "tr":
             if any(n.tag == "table" for n in self.open):
-                self.push(Node("tr", {}))
-        self.push(Node(tag, attrs))
+                self.push("tr", {})
+        self.push(tag, attrs)
 
     def end_tag(self, tag: str) -> None:
         if tag in ("table", "body", "html"):
@@ -165,7 +210,9 @@ def parse(page: str) -> Node:
                 build.start_tag("br", {}) if tag == "br" else build.end_tag(tag)
                 continue
             build.start_tag(tag, attrs)
-            if tag in RAW:
+            if build.open[-1].tag == tag and page.endswith("/>", lt, at) and build.foreign_child():
+                build.end({tag}, set())
+            elif tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
                 end = close.start() if close else n
                 inner = page[at:end]
@@ -254,7 +301,7 @@ def inside(node: Node, flow: Flow, pre: bool) -> None:
     closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
-            if not closed:
+            if not closed and node.shown:
                 flow.text(child, pre)
         elif not child.hidden() and not (closed and child.tag != "summary"):
             render(child, flow, pre)
@@ -263,11 +310,11 @@ def inside(node: Node, flow: Flow, pre: bool) -> None:
 def render(node: Node, flow: Flow, pre: bool) -> None:
     tag = node.tag
     if tag == "br":
-        flow.line(keep=True)
+        flow.line(keep=node.shown)
     elif tag == "hr":
         flow.block(True)
     elif tag == "input":
-        if node.attrs.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "password", "file", "image"):
+        if node.shown and node.attrs.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "password", "file", "image"):
             flow.text(node.attrs.get("value", ""), False)
     elif tag == "table":
         flow.add(table_lines(node), True)
@@ -277,7 +324,7 @@ def render(node: Node, flow: Flow, pre: bool) -> None:
         flow.add(["  " + line if line else line for line in flowed(node, pre)], False)
     elif tag == "blockquote":
         flow.add(["  " + line if line else line for line in flowed(node, pre)], True)
-    elif tag in BLOCK:
+    elif tag in BLOCK or tag == "text":  # a text of a drawing
         flow.block(tag in SPACED)
         inside(node, flow, pre or tag == "pre")
         flow.block(tag in SPACED)
@@ -288,15 +335,16 @@ def render(node: Node, flow: Flow, pre: bool) -> None:
 def list_lines(node: Node) -> list[str]:
     lines: list[str] = []
     at = number(node.attrs.get("start"), 1, 10**9)
-    loose = Node("div", {})  # what stands outside of items
+    loose = Node("div", {}, node)  # what stands outside of items
     for child in [*node.children, Node("li", {})]:
         if not isinstance(child, Node) or child.tag != "li":
             loose.children.append(child)
             continue
         lines += ["  " + line for line in flowed(loose)]
-        loose = Node("div", {})
+        loose = Node("div", {}, node)
         own = [] if child.hidden() else [line for line in flowed(child) if line]
         if not own:
+            at += not (child.shown or child.hidden() or child.tag != "li" or node.tag != "ol")
             continue
         at = number(child.attrs.get("value"), at, 10**9)
         mark = f"{at}. " if node.tag == "ol" else "- "
@@ -307,19 +355,19 @@ def list_lines(node: Node) -> list[str]:
 
 def table_lines(node: Node) -> list[str]:
     """Rows with cells padded to columns; what stands outside of cells comes first."""
-    outside, rows = Node("div", {}), []
+    outside, rows = Node("div", {}), []  # texts outside of cells that are not visible are left out below
 
     def walk(part: Node) -> None:
         for child in part.children:
             if isinstance(child, str):
-                outside.children.append(child)
+                outside.children += [child] * part.shown
             elif child.hidden() or child.tag in ("colgroup", "col"):
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
                 walk(child)
             elif child.tag == "tr":
                 rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()])
-                outside.children += [c for c in child.children if isinstance(c, str) or c.tag not in ("td", "th")]
+                outside.children += [c for c in child.children if (child.shown if isinstance(c, str) else c.tag not in ("td", "th"))]
             else:
                 outside.children.append(child)
 
