@@ -69,6 +69,16 @@ def test_visible_text(page):
     assert visible_text(page) == HTML[page]
 
 
+@pytest.mark.parametrize("tag", ["font", "b", "span", "div"])
+def test_deep_pages_are_built_alike(tag):
+    rest = "<p hidden>no</p><script>no</script><i style='display:none'>no</i><ol><li>x<li>y</ol><table><tr><td>a<td>bb<tr><td>c<td>d</table>z"
+    for n in (1, 148, 200, 50_000):
+        assert visible_text(f"<{tag}>" * n + rest) == visible_text(rest) == "1. x\n2. y\n\na | bb\nc | d\n\nz"
+    assert visible_text(f"<div hidden>{f'<{tag}>' * 200}no<div>no</div>no") == ""
+    nested = "<table><tr><td>" * 300 + "<ul><li>" * 300 + "<blockquote>" * 300 + "<tbody>" * 300 + "deep"
+    assert visible_text(nested).split()[-1] == "deep"
+
+
 def test_visible_text_takes_anything():
     rng = random.Random(5)
     parts = ["<table>", "<td>", "<tr", ">", "</table>", "<li>", "<ul>", "</ul>", "<p>", "x y", "&amp", "<!--", "-->", '"', "'", "<a b=", "</", "<pre>", "\n", "<script>", "</script>", "<td rowspan=99999999 colspan=0>"]

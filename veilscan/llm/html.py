@@ -2,8 +2,7 @@
 
 The builder adds implied tags (an open paragraph, list item, option, row or cell ends where the next one
 starts; cells get a row and a table), ignores end tags that match nothing, and closes what a matching
-one leaves open. A head ends before text and before tags that cannot stand in it. Elements deeper than ``DEEPEST`` join their parent, so no nesting is too deep and no text
-is lost. Visibility rules drop what a browser does not show: head, scripts, styles, templates, comments,
+one leaves open. A head ends before text and before tags that cannot stand in it. Nesting has no limit: the renderer keeps a stack of its own. Visibility rules drop what a browser does not show: head, scripts, styles, templates, comments,
 ``hidden``, ``display:none`` and ``visibility:hidden`` (but what is ``visible`` again inside), closed details
 but for their summary. Texts of drawings and formulas are kept, without what these do not show.
 
@@ -16,6 +15,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Generator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +24,6 @@ from pyspark.sql import types as T
 
 from veilscan.llm.common import byte_slices, small_batches
 
-DEEPEST = 150
-
 # Fixed sets of element names.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
@@ -99,6 +98,7 @@ class Builder:
     def __init__(self):
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)  # where elements of each name are open
 
     def text(self, text: str) -> None:
         if self.open[-1].tag == "head" and not SPACES.fullmatch(text):
@@ -115,29 +115,37 @@ class Builder:
             attrs = {**attrs, "\0unshown": ""}
         node = Node(tag, attrs, parent)
         parent.children.append(node)
-        if node.tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.at[tag].append(len(self.open))
             self.open.append(node)
 
     def end(self, tags: set[str], within: set[str]) -> None:
         """Close the innermost open one of ``tags`` unless one of ``within`` is open inside it."""
-        for i in range(len(self.open) - 1, 0, -1):
+        last = self.last(tags)
+        if last and (last == len(self.open) - 1 or self.last(within) <= last):
+            for node in self.open[last:]:
+                self.at[node.tag].pop()
+            del self.open[last:]
+
+    def last(self, tags: set[str]) -> int:
+        """Place of the innermost open one of ``tags``, 0 if none is open."""
+        top = len(self.open) - 1
+        for i in range(top, max(0, top - 8), -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in within:
-                return
+                return i
+        return max([self.at[t][-1] for t in tags if self.at.get(t)], default=0) if top > 8 else 0
 
     def foreign_child(self) -> bool:
         """Whether the innermost element belongs to a drawing or formula, where ``/>`` ends it."""
         return self.open[-1].tag in UNSHOWN or (len(self.open) > 1 and bool(self.open[-2].foreign))
 
     def start_tag(self, tag: str, attrs: dict[str, str]) -> None:
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body") and self.at.get(tag):
             return
         if tag in BREAKOUT:
             while self.open[-1].foreign:
                 self.end({self.open[-1].tag}, set())
-        if tag == "head" and any(n.tag in ("head", "body") for n in self.open):
+        if tag == "head" and (self.at.get("head") or self.at.get("body")):
             return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
             if tag in ("html", "body", "frameset"):
@@ -155,7 +163,7 @@ class Builder:
             if tag != "tr":
                 self.end({"tr"}, {"table"})
         if tag in ("td", "th") and self.open[-1].tag != "tr":
-            if any(n.tag == "table" for n in self.open):
+            if self.at.get("table"):
                 self.push("tr", {})
         self.push(tag, attrs)
 
@@ -291,23 +299,40 @@ def number(value: str | None, otherwise: int, most: int = 1_000) -> int:
     return min(int(m[1]), most) if m and int(m[1]) else otherwise
 
 
-def flowed(node: Node, pre: bool = False) -> list[str]:
+#: A step of the renderer: it yields the steps that it needs and is sent their results.
+Step = Generator["Step", list[str] | None, list[str] | None]
+
+
+def run(step: Step) -> list[str] | None:
+    """The result of a step. The steps under way are a list, so nesting may be as deep as it likes."""
+    steps, result = [step], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(result))
+            result = None
+        except StopIteration as done:
+            steps.pop()
+            result = done.value
+    return result
+
+
+def flowed(node: Node, pre: bool = False) -> Step:
     flow = Flow()
-    inside(node, flow, pre)
+    yield inside(node, flow, pre)
     return flow.done()
 
 
-def inside(node: Node, flow: Flow, pre: bool) -> None:
+def inside(node: Node, flow: Flow, pre: bool) -> Step:
     closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
             if not closed and node.shown:
                 flow.text(child, pre)
         elif not child.hidden() and not (closed and child.tag != "summary"):
-            render(child, flow, pre)
+            yield render(child, flow, pre)
 
 
-def render(node: Node, flow: Flow, pre: bool) -> None:
+def render(node: Node, flow: Flow, pre: bool) -> Step:
     tag = node.tag
     if tag == "br":
         flow.line(keep=node.shown)
@@ -317,22 +342,22 @@ def render(node: Node, flow: Flow, pre: bool) -> None:
         if node.shown and node.attrs.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "password", "file", "image"):
             flow.text(node.attrs.get("value", ""), False)
     elif tag == "table":
-        flow.add(table_lines(node), True)
+        flow.add((yield table_lines(node)), True)
     elif tag in ("ul", "ol", "menu", "dir"):
-        flow.add(list_lines(node), True)
+        flow.add((yield list_lines(node)), True)
     elif tag == "dd":
-        flow.add(["  " + line if line else line for line in flowed(node, pre)], False)
+        flow.add(["  " + line if line else line for line in (yield flowed(node, pre))], False)
     elif tag == "blockquote":
-        flow.add(["  " + line if line else line for line in flowed(node, pre)], True)
+        flow.add(["  " + line if line else line for line in (yield flowed(node, pre))], True)
     elif tag in BLOCK or tag == "text":  # a text of a drawing
         flow.block(tag in SPACED)
-        inside(node, flow, pre or tag == "pre")
+        yield inside(node, flow, pre or tag == "pre")
         flow.block(tag in SPACED)
     else:
-        inside(node, flow, pre or tag in ("textarea", "xmp"))
+        yield inside(node, flow, pre or tag in ("textarea", "xmp"))
 
 
-def list_lines(node: Node) -> list[str]:
+def list_lines(node: Node) -> Step:
     lines: list[str] = []
     at = number(node.attrs.get("start"), 1, 10**9)
     loose = Node("div", {}, node)  # what stands outside of items
@@ -340,9 +365,9 @@ def list_lines(node: Node) -> list[str]:
         if not isinstance(child, Node) or child.tag != "li":
             loose.children.append(child)
             continue
-        lines += ["  " + line for line in flowed(loose)]
+        lines += ["  " + line for line in (yield flowed(loose))]
         loose = Node("div", {}, node)
-        own = [] if child.hidden() else [line for line in flowed(child) if line]
+        own = [] if child.hidden() else [line for line in (yield flowed(child)) if line]
         if not own:
             at += not (child.shown or child.hidden() or child.tag != "li" or node.tag != "ol")
             continue
@@ -353,25 +378,26 @@ def list_lines(node: Node) -> list[str]:
     return lines
 
 
-def table_lines(node: Node) -> list[str]:
+def table_lines(node: Node) -> Step:
     """Rows with cells padded to columns; what stands outside of cells comes first."""
     outside, rows = Node("div", {}), []  # texts outside of cells that are not visible are left out below
 
-    def walk(part: Node) -> None:
-        for child in part.children:
-            if isinstance(child, str):
-                outside.children += [child] * part.shown
-            elif child.hidden() or child.tag in ("colgroup", "col"):
-                continue
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                walk(child)
-            elif child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()])
-                outside.children += [c for c in child.children if (child.shown if isinstance(c, str) else c.tag not in ("td", "th"))]
-            else:
-                outside.children.append(child)
-
-    walk(node)
+    walks = [(node, iter(node.children))]
+    while walks:
+        part, children = walks[-1]
+        if (child := next(children, None)) is None:
+            walks.pop()
+        elif isinstance(child, str):
+            outside.children += [child] * part.shown
+        elif child.hidden() or child.tag in ("colgroup", "col"):
+            continue
+        elif child.tag in ("thead", "tbody", "tfoot"):
+            walks.append((child, iter(child.children)))
+        elif child.tag == "tr":
+            rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()])
+            outside.children += [c for c in child.children if (child.shown if isinstance(c, str) else c.tag not in ("td", "th"))]
+        else:
+            outside.children.append(child)
     # Cells by row and column; a cell that spans rows keeps its columns in the rows below.
     placed: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}  # column -> rows that it is still taken for
@@ -381,7 +407,7 @@ def table_lines(node: Node) -> list[str]:
         for cell in row:
             while column in taken:
                 column += 1
-            across, lines = number(cell.attrs.get("colspan"), 1), flowed(cell)
+            across, lines = number(cell.attrs.get("colspan"), 1), (yield flowed(cell))
             if (down := number(cell.attrs.get("rowspan"), 1)) > 1:
                 next_taken |= {column + i: down - 1 for i in range(across)}
             if across == 1:
@@ -394,7 +420,7 @@ def table_lines(node: Node) -> list[str]:
     for column in range(max([c + a for cells in placed for c, a, _ in cells], default=0)):
         starts[column] = at
         at += widths[column] + 3 if widths.get(column) else 0
-    out = flowed(outside)
+    out = yield flowed(outside)
     for cells in placed:
         for i in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
@@ -412,7 +438,7 @@ def table_lines(node: Node) -> list[str]:
 def visible_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(flowed(parse(page))).replace("\xa0", " ")
+    return "\n".join(run(flowed(parse(page)))).replace("\xa0", " ")
 
 
 def extract(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
