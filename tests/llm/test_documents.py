@@ -168,6 +168,14 @@ def test_deduplicated(spark):
     assert sorted((r.doc_id is not None, r.doc_id) for r in kept.collect()) == sorted((i is not None, i) for i in (1, 3, 4, 5, 6, None, 7, 8, 9))
 
 
+def test_deduplicated_rows_not_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(7, x, "a"), (7, y, "b"), (3, x, "c"), (None, z, "d"), (None, z, "e"), (None, x, "f"), (8, z + " end", "g"), (None, "alone", "h"), (None, "alone", "i")]
+    for order in (rows, rows[::-1]):
+        kept = ngram_join.deduplicated(documents(spark, order).repartition(3)).collect()
+        assert sorted(((r.doc_id or 0, r.text) for r in kept)) == [(0, "alone"), (3, x), (7, y), (8, z + " end")]
+
+
 def test_block_codes():
     rng = np.random.default_rng(1)
     for top in (10, 2**20, 2**36):

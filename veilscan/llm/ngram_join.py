@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import byte_slices, give_back, list_column, small_batches, store
+from veilscan.llm.common import byte_slices, give_back, list_column, numbered, small_batches, store
 
 FREQUENT = 64
 SMALL = 64
@@ -470,14 +470,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest ``doc_id``.
+    """``docs`` with one row of each component of near copies, that with the smallest ``doc_id`` (nulls last).
 
-    Of rows that repeat this id one is kept; rows without an id, which belong to no component, all stay.
+    Every row counts by itself, also where ids repeat or are null. Of rows of one component that have the same
+    id, the hash of the text decides, then the place in the input. Rows without a word are in no component and
+    all stay.
     """
-    found = jaccard_components(docs, n, num, den)
-    kept = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    # Stored, so that each row keeps its key however often the input is read.
+    keyed = numbered(docs).withColumn("row", F.monotonically_increasing_id())
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = store(keyed, "rows")
+    found = jaccard_components(rows, n, num, den, "row", text_col).select(F.col("id").alias("row"), "component_id")
+    rank = F.struct(F.col(id_col).isNull(), id_col, F.xxhash64(text_col), "row").alias("rank")
+    first = found.join(rows.select("row", rank), "row").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select("rank.row"), "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
