@@ -290,6 +290,15 @@ def test_language_without_labels(spark):
     assert language.predictions(documents(spark, [])).count() == 0
 
 
+def test_rows_stay_without_labels(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0][:5]
+    unlabelled, only_held = [(i, t, None) for i, t, _ in EDGE_ROWS], [(i, t, "en") for i, t in zip(held, ("some text", "é", "", None, "12 !"))]
+    for rows, n in ((unlabelled, len(EDGE_ROWS) - 4), (only_held, 2)):
+        kept = language.known(documents(spark, rows))
+        assert kept.columns == documents(spark).columns and kept.count() == n
+        assert all(r.text and any(map(str.isalpha, r.text)) for r in kept.collect())
+
+
 def test_language_within_families():
     samples = {
         "en": "the house and the garden with this that which", "de": "das haus und der garten mit diesem welcher nicht",

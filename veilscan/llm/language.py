@@ -230,6 +230,20 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return kept.mapInArrow(run, schema)
 
 
+def lettered(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` without the rows that have no text, or no letter in it."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for whole in batches:
+            for batch in byte_slices(whole, at):
+                kept = [bool(t) and any(map(str.isalpha, t)) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
@@ -240,9 +254,11 @@ def learned(docs: DataFrame) -> Model | None:
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows in no language (no text, or no letter in it)."""
-    rows = numbered(docs)
-    done = identify(rows, learned(docs), rows.columns[docs.columns.index("text")])
+    """``docs`` without the rows in no language (no text, or no letter in it), also if there is nothing to learn from."""
+    rows, text_col = numbered(docs), f"c{docs.columns.index('text')}"
+    if (model := learned(docs)) is None:  # every row would be in no language
+        return lettered(rows, text_col).toDF(*docs.columns)
+    done = identify(rows, model, text_col)
     return done.where(F.col("lang_pred") != UNKNOWN).select(*rows.columns).toDF(*docs.columns)
 
 
