@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import chat, decontaminate, html, language, ngram_join, pieces, secrets, tokens, topk, warc
+from veilscan.llm import chat, decontaminate, html, language, ngram_join, pieces, secrets, spelling, tokens, topk, warc
 from veilscan.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ ORACLES["op9_perspectives"] = chat.LISTED_SQL
 @query
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling"] = spelling.VARIANTS_SQL
