@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import chat, decontaminate, html, language, ngram_join, pieces, secrets, spelling, tokens, topk, warc
+from veilscan.llm import chat, decontaminate, html, language, lexical, ngram_join, pieces, secrets, spelling, tokens, topk, warc
 from veilscan.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_spelling"] = spelling.VARIANTS_SQL
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = lexical.RANKED_SQL
