@@ -27,7 +27,7 @@ def test_queries_against_sql(spark, name, sf_dir):
 
 
 def test_one_query_per_operator():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
 
 
 # HTML.

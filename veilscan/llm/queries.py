@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import chat, decontaminate, html, language, lexical, ngram_join, pieces, secrets, spelling, tokens, topk, warc
+from veilscan.llm import chat, decontaminate, html, language, lexical, ngram_join, pieces, secrets, spelling, tokens, topk, urls, warc
 from veilscan.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_ranked_search"] = lexical.RANKED_SQL
+
+
+@query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_url_filters"] = urls.judged_sql()
