@@ -141,10 +141,12 @@ def test_filters_on_results_do_not_scan_twice(spark, tmp_path):
     assert plan.count("regexp_replace") == once.optimizedPlan().toString().count("regexp_replace")
 
 
-def test_interval_dedup_over_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("bits, fan", [(16, 64), (3, 64), (2, 3)])
+def test_interval_dedup_over_blocks(spark, monkeypatch, bits, fan):
     from veilscan.operators import dedup
 
-    monkeypatch.setattr(dedup, "BLOCK_BITS", 3)
+    monkeypatch.setattr(dedup, "BLOCK_BITS", bits)
+    monkeypatch.setattr(dedup, "FAN", fan)
     rng = random.Random(11)
     rows = [(k, s, s + rng.choice([0, 3, 40]) if s is not None else 1) for k in ("a", None, "b") for s in rng.sample(range(500), 120)]
     df = spark.createDataFrame(rows, "k string, start int, end int").repartition(3)
@@ -160,6 +162,36 @@ def test_interval_dedup_over_blocks(spark, monkeypatch):
     assert dedup_intervals(df.limit(0), ["k"]).count() == 0
 
 
+def test_interval_dedup_of_times_and_missing_ends(spark, monkeypatch):
+    from veilscan.operators import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK_BITS", 2)
+    monkeypatch.setattr(dedup, "FAN", 2)
+    rng = random.Random(4)
+    rows = [(k, s, rng.choice([None, s + 1, s + 30])) for k in (1, 2) for s in rng.sample(range(200), 60)]
+    want = []
+    for key in (1, 2):
+        reach = None
+        for _, s, e in sorted(r for r in rows if r[0] == key):
+            if reach is None or s > reach:
+                want.append((key, s, e))
+                reach = e if e is not None else reach
+    df = spark.createDataFrame(rows, "k int, start int, end int").repartition(3)
+    for kind, back in (("timestamp", "unix_seconds(cast({} as timestamp))"), ("string", "cast({} as int)"), ("double", "cast({} as int)")):
+        cast = "timestamp_seconds({0})" if kind == "timestamp" else "format_string('%05d', {0})" if kind == "string" else "cast({0} as double)"
+        own = df.selectExpr("k", cast.format("start") + " AS start", f"CASE WHEN end IS NOT NULL THEN {cast.format('end')} END AS end")
+        got = dedup_intervals(own, ["k"]).selectExpr("k", back.format("start"), back.format("end")).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_interval_dedup_collects_nothing():
+    import inspect
+
+    from veilscan.operators import dedup
+
+    assert ".collect(" not in inspect.getsource(dedup) and "to_pylist" not in inspect.getsource(dedup)
+
+
 def test_interval_dedup_agrees_with_naive_loop(spark):
     rng = random.Random(5)
     rows = []

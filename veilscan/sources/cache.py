@@ -43,36 +43,47 @@ def _opens(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The text up to each closing brace, in blocks as Spark splits the files.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The text up to each closing brace, as Spark splits the files: ``source, block, size, row, n_bytes``,
+    ``parts`` (cut where entries start), ``opened`` (opening braces of each part), ``ids`` (of the entries).
 
-    ``source, block, ord`` (number in the file), ``depth`` (of braces behind the piece), ``parts``
-    (cut where entries start), ``before`` (depth before the piece), ``started`` (entry starts before it).
-    Braces are counted wherever they stand, also inside strings. What stands behind the last
-    brace of a file has no depth.
+    Braces are counted wherever they stand, also inside strings.
     """
     text = without_mark(F.make_valid_utf8("value"))
-    lines = spark.read.option("lineSep", "}").text(path)
-    lines = lines.select(
+    lines = spark.read.option("lineSep", "}").text(path).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("row"),
         (F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
         F.split(F.regexp_replace(text, ENTRY_START, MARK + "$0"), MARK, -1).alias("parts"),
-    ).withColumn("opens", F.aggregate("parts", F.lit(0), lambda n, p: n + _opens(p)))
+    )
+    starts = F.slice("parts", F.lit(2), F.size("parts"))
+    lines = lines.withColumns({
+        "opened": F.transform("parts", _opens),
+        "ids": F.transform(starts, lambda p: F.regexp_extract(p, '^"([^"]*)"', 1)),
+    })
+    return save_table(lines, "lines")
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """What is known of each piece without its text: ``source, block, row, ord`` (number in the file), ``depth``
+    (of braces behind it), ``before`` (in front of it), ``started`` (entries before it), ``opened``, ``ids``.
+
+    What stands behind the last brace of a file has no depth.
+    """
+    opens = F.aggregate("opened", F.lit(0), lambda n, x: n + x)
     # Sums within a block first; a block is as large as Spark makes its splits.
     within = Window.partitionBy("source", "block").orderBy("row")
-    counted = lines.select(
-        "source", "block", "size", "n_bytes", "parts", "opens",
+    counted = lines.select("source", "block", "size", "row", "n_bytes", "opened", "ids", opens.alias("opens")).select(
+        "*",
         F.row_number().over(within).alias("rn"),
-        F.sum("opens").over(within).alias("opened"),
-        F.sum(F.size("parts") - 1).over(within).alias("starts"),
+        F.sum("opens").over(within).alias("sum_opens"),
+        F.sum(F.size("ids")).over(within).alias("starts"),
     )
-    counted = save_table(counted, "pieces")
     blocks = counted.groupBy("source", "block").agg(
         F.max("rn").alias("n"),
-        F.max("opened").alias("block_opened"),
+        F.max("sum_opens").alias("block_opened"),
         F.max("starts").alias("block_starts"),
         F.sum("n_bytes").alias("block_bytes"),
         F.first("size").alias("size"),
@@ -91,60 +102,63 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
          & F.lead("block").over(by_block).isNull()).alias("open_end"),
     )
     joined = counted.join(offsets, ["source", "block"]).withColumn("ord", F.col("n0") + F.col("rn"))
-    depth = F.col("opened0") + F.col("opened") - F.col("ord")
-    return joined.select(
-        "source", "block", "ord", "parts",
-        F.when(~(F.col("open_end") & (F.col("rn") == F.col("n"))), depth).alias("depth"),
-        (depth + 1 - F.col("opens")).alias("before"),
-        (F.col("starts0") + F.col("starts") - F.size("parts") + 1).alias("started"),
+    depth = F.col("opened0") + F.col("sum_opens") - F.col("ord")
+    return save_table(
+        joined.select(
+            "source", "block", "row", "ord", "opened", "ids",
+            F.when(~(F.col("open_end") & (F.col("rn") == F.col("n"))), depth).alias("depth"),
+            (depth + 1 - F.col("opens")).alias("before"),
+            (F.col("starts0") + F.col("starts") - F.size("ids")).alias("started"),
+        ),
+        "pieces",
     )
 
 
 def _entries(pieces: DataFrame) -> DataFrame:
-    """Entry starts: ``source, block, ord, k, base`` (depth around the entry) and ``tail``, its piece's rest."""
-    numbered = pieces.where(F.size("parts") > 1).select(
-        "source", "block", "ord", "before", "started", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("j")
+    """Entry starts: ``source, block, ord, k, j`` (number in its piece), ``file_id, base`` (depth around the entry)."""
+    numbered = pieces.where(F.size("ids") > 0).select(
+        "source", "block", "ord", "before", "started", "opened", F.posexplode("ids").alias("i", "file_id")
     )
-    opened = F.aggregate(F.slice("parts", F.lit(1), F.col("j")), F.lit(0), lambda n, p: n + _opens(p))
-    tail = F.slice("parts", F.col("j") + 1, F.size("parts"))
+    opened = F.aggregate(F.slice("opened", F.lit(1), F.col("i") + 1), F.lit(0), lambda n, x: n + x)
     return numbered.select(
-        "source", "block", "ord",
-        (F.col("started") + F.col("j")).alias("k"),
+        "source", "block", "ord", "file_id",
+        (F.col("i") + 1).alias("j"),
+        (F.col("started") + F.col("i") + 1).alias("k"),
         (F.col("before") + opened).alias("base"),
-        F.array_join(tail, "").alias("tail"),
     )
 
 
 def _closings(pieces: DataFrame, entries: DataFrame) -> DataFrame:
     """``source, k, close``: number of the piece that ends at each entry's closing brace.
 
-    An entry ends where the depth is back for the first time, and the depth falls by one brace at a
-    time. So within a block the next piece of the same depth is looked for; entries that go beyond
-    their block look for the first later block that gets down to their depth.
+    An entry ends where the depth is back for the first time, and the depth falls by one brace at a time. So within a
+    block it is the nearest later piece of the same depth, which a frame running backwards carries along. An entry that
+    goes beyond its block ends in the nearest later block that falls to its depth. That block comes in above this
+    depth, so it has a closing brace for each depth from there down to its lowest; these depths stand for it.
     """
     none = F.lit(None).cast("bigint")
+    at = ["source", "block", "level"]
+    asked = entries.select("source", "block", "ord", F.col("base").alias("level"), "k", none.alias("end"))
     depths = pieces.where("depth is not null").select("source", "block", "ord", F.col("depth").alias("level"))
-    both = entries.select("source", "block", "ord", F.col("base").alias("level"), "k", none.alias("end")).unionByName(
-        depths.withColumn("k", none).withColumn("end", F.col("ord"))
-    )
-    # At the same place an entry comes before the brace.
-    following = Window.partitionBy("source", "block", "level").orderBy("ord", F.col("k").isNull())
-    following = following.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("close", F.first("end", ignorenulls=True).over(following)).where("k is not null")
-    rest = found.where("close is null").select("source", "block", "level").distinct()
-    low = depths.groupBy("source", "block").agg(F.min("level").alias("low")).withColumnRenamed("block", "later")
-    target = (
-        rest.join(low, "source")
-        .where((F.col("later") > F.col("block")) & (F.col("low") <= F.col("level")))
-        .groupBy("source", "block", "level")
-        .agg(F.min("later").alias("later"))
-    )
-    ends = depths.withColumnRenamed("block", "later").join(target, ["source", "later", "level"])
-    ends = ends.groupBy("source", "block", "level").agg(F.min("ord").alias("beyond"))
-    return (
-        found.join(ends, ["source", "block", "level"], "left")
-        .select("source", "k", F.coalesce("close", "beyond").alias("close"))
-    )
+    own = depths.join(asked.select(*at).distinct(), at, "left_semi").withColumn("k", none).withColumn("end", F.col("ord"))
+    # Backwards, a brace comes before an entry of its own piece.
+    backwards = Window.partitionBy(*at).orderBy(F.desc("ord"), F.col("k").isNotNull())
+    running = backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = asked.unionByName(own).withColumn("close", F.last("end", ignorenulls=True).over(running)).where("k is not null")
+    found = save_table(found.select(*at, "k", "close"), "closings")
+    rest = found.where("close is null").select(*at).distinct()
+    span = pieces.where("depth is not null").groupBy("source", "block").agg(F.min("depth").alias("low"), F.min_by("before", "ord").alias("top"))
+    falls = span.where("low < top").select("source", "block", F.explode(F.expr("sequence(low, top - 1)")).alias("level"))
+    falls = falls.join(rest.select("source", "level").distinct(), ["source", "level"], "left_semi")
+    # Blocks of a file, one row each per depth.
+    both = rest.select(*at, none.alias("later")).unionByName(falls.select(*at, F.col("block").alias("later")))
+    backwards = Window.partitionBy("source", "level").orderBy(F.desc("block"))
+    target = both.withColumn("later", F.last("later", ignorenulls=True).over(backwards.rangeBetween(Window.unboundedPreceding, -1)))
+    target = rest.join(target.where("later is not null").select(*at, "later").distinct(), at)
+    firsts = depths.withColumnRenamed("block", "later").join(target.select("source", "later", "level").distinct(), ["source", "later", "level"], "left_semi")
+    firsts = firsts.groupBy("source", "later", "level").agg(F.min("ord").alias("beyond"))
+    ends = target.join(firsts, ["source", "later", "level"]).select(*at, "beyond")
+    return found.join(ends, at, "left").select("source", "k", F.coalesce("close", "beyond").alias("close"))
 
 
 def recover_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -154,33 +168,35 @@ def recover_entries(spark: SparkSession, path: str) -> DataFrame:
     total_chars, error, findings``. Outcomes: ``recovered``; ``no_findings`` (entry
     stored, but its findings are unreadable); ``empty``; ``skipped``.
 
-    Files are split; an entry may have any length. The text of an entry is put together from its
-    pieces, and only for entries that close.
+    Files are split; an entry may have any length. Ends are found by counts alone; the text is
+    shuffled once, to put entries that close together from their pieces.
     """
-    pieces = _pieces(spark, path)
+    lines = _lines(spark, path)
+    pieces = _pieces(lines)
     entries = _entries(pieces)
-    ends = entries.select("source", "ord", "k", "tail").join(_closings(pieces, entries), ["source", "k"])
+    ends = entries.join(_closings(pieces, entries), ["source", "k"])
     run = ends.where("close is not null").select(
-        "source", "k", F.explode(F.sequence(F.col("ord"), F.col("close"))).alias("ord"),
-        F.col("ord").alias("first"), "tail",
+        "source", "k", "j", "file_id", F.col("ord").alias("first"), F.explode(F.sequence(F.col("ord"), F.col("close"))).alias("ord")
     )
-    texts = pieces.select("source", "ord", F.array_join("parts", "").alias("piece"))
-    own = F.when(F.col("ord") == F.col("first"), F.col("tail")).otherwise(F.col("piece"))
+    # Within a block, pieces are numbered as their rows are.
+    shift = pieces.groupBy("source", "block").agg(F.min(F.col("ord") - F.col("row")).alias("shift"))
+    texts = lines.select("source", "block", "row", "parts").join(shift, ["source", "block"])
+    texts = texts.select("source", (F.col("row") + F.col("shift")).alias("ord"), "parts")
+    from_start = F.when(F.col("ord") == F.col("first"), F.col("j") + 1).otherwise(1)
+    text = F.array_join(F.slice("parts", from_start, F.size("parts")), "")
     whole = (
-        run.withColumn("tail", F.when(F.col("ord") == F.col("first"), F.col("tail")))
-        .join(texts, ["source", "ord"])
+        run.join(texts, ["source", "ord"])
         .groupBy("source", "k")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", own.alias("t")))).alias("run"))
-        .select("source", "k", F.concat(F.array_join(F.transform("run", lambda r: r["t"]), "}"), F.lit("}")).alias("window"))
+        .agg(F.first("file_id").alias("file_id"), F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))).alias("run"))
+        .select("source", "k", "file_id", F.concat(F.array_join(F.transform("run", lambda r: r["t"]), "}"), F.lit("}")).alias("window"))
     )
-    unclosed = ends.where("close is null").select("source", "k", F.col("tail").alias("start"), F.lit(None).cast("string").alias("window"))
-    windows = whole.select("source", "k", F.col("window").alias("start"), "window").unionByName(unclosed)
+    unclosed = ends.where("close is null").select("source", "k", "file_id", F.lit(None).cast("string").alias("window"))
+    windows = whole.unionByName(unclosed)
     fragment = F.concat(F.lit("{"), F.col("window"), F.lit("}"))
-    file_id = F.regexp_extract("start", '^"([^"]*)"', 1)
     parsed = windows.select(
         "source",
         "k",
-        file_id.alias("file_id"),
+        "file_id",
         _parse(fragment, "map<string,map<string,string>>").alias("m"),
     ).withColumn("fields", F.try_element_at("m", F.col("file_id")))
     get = lambda name: F.try_element_at("fields", F.lit(name))
