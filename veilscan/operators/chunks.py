@@ -25,6 +25,9 @@ def chunk_array(text: Column, params: ScanParams) -> Column:
         # A chunk that reaches the end is the last one, even if pieces remain.
         n = F.length(text)
         count = F.greatest(F.lit(1), F.ceil((n - size) / F.lit(step)) + 1).cast("int")
+        return let(count, lambda m: chunks(pieces, m))
+
+    def chunks(pieces: Column, count: Column) -> Column:
         return F.transform(
             F.slice(pieces, F.lit(1), count),
             lambda _, i: F.struct(

@@ -203,6 +203,51 @@ def _placed(c: Column, hits: Column, params: ScanParams) -> Column:
     )
 
 
+def _by_boundary(chunks: Column, params: ScanParams) -> Column:
+    """Edge hits listed by boundary: those that reach on from one chunk, and those that reach back from the next."""
+
+    def reaches_back(h: Column, i: Column) -> Column:
+        return (i > 0) & (h["start"] - i * params.step <= params.chunk_overlap)
+
+    back = F.transform(chunks, lambda hits, i: F.filter(hits, lambda h: h["edge"] & reaches_back(h, i)))
+    on = F.transform(chunks, lambda hits, i: F.filter(hits, lambda h: h["edge"] & ~reaches_back(h, i)))
+    at = lambda lists, i: F.coalesce(F.get(lists, i), _no_hits())
+    both = lambda b, o: F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: F.concat(at(o, i - 1), at(b, i)))
+    return let(back, lambda b: let(on, lambda o: both(b, o)))
+
+
+def _apart(edges: Column, params: ScanParams) -> Column:
+    """Edge hits of a text, listed by boundary, without overlaps.
+
+    A hit reaches a bounded number of boundaries on. Wherever no hit of the ones before touches one that
+    follows, a run ends. Runs are folded one by one: a fold copies what it has kept, and over
+    a whole text it would do so for every hit.
+    """
+    reach = -(-params.chunk_size // params.step) + 1
+    spans = F.transform(
+        edges,
+        lambda hits: F.struct(
+            F.array_min(F.transform(hits, lambda h: h["start"])).alias("first"),
+            F.array_max(F.transform(hits, lambda h: h["end"])).alias("last"),
+        ),
+    )
+
+    def ends_before(s: Column, i: Column) -> Column:
+        earlier = F.slice(s, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
+        later = F.slice(s, i + 1, F.lit(reach))
+        last = F.array_max(F.transform(earlier, lambda x: x["last"]))
+        return F.coalesce(last < F.array_min(F.transform(later, lambda x: x["first"])), F.lit(True))
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(edges) - 1), lambda i: ends_before(s, i))
+        return let(heads, lambda h: F.flatten(F.transform(h, lambda a, k: run(a, F.coalesce(F.get(h, k + 1), F.size(edges))))))
+
+    def run(a: Column, b: Column) -> Column:
+        return drop_overlaps(F.flatten(F.slice(edges, a + 1, b - a)))
+
+    return let(spans, runs)
+
+
 def findings_of(text: Column, params: ScanParams | None = None) -> Column:
     """Findings of one text as ``array<struct<entity_type, confidence, start, end, masked_value>>``."""
     params = params or ScanParams()
@@ -214,15 +259,15 @@ def findings_of(text: Column, params: ScanParams | None = None) -> Column:
         ),
     )
 
-    def across(hits: Column) -> Column:
+    def across(chunks: Column) -> Column:
         # Hits within one chunk are already apart, and one that reaches no other chunk
-        # meets no hit of another: only the few at chunk edges can still overlap.
-        inner = F.filter(hits, lambda h: ~h["edge"])
-        return F.concat(inner, drop_overlaps(F.filter(hits, lambda h: h["edge"])))
+        # meets no hit of another: only those at chunk edges can still overlap.
+        inner = F.flatten(F.transform(chunks, lambda hits: F.filter(hits, lambda h: ~h["edge"])))
+        return F.concat(inner, let(_by_boundary(chunks, params), lambda e: _apart(e, params)))
 
     merged = F.when(
         F.length(text) <= params.chunk_size, F.flatten(per_chunk)
-    ).otherwise(let(F.flatten(per_chunk), across))
+    ).otherwise(let(per_chunk, across))
     findings = F.transform(
         merged,
         lambda h: F.struct(
