@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,9 @@ from veilscan.llm.common import byte_slices, give_back, list_column, shared_fold
 #: Before a single space between two characters that are no white space, every pre-tokenizer of the
 #: byte-level kind starts a new token; so texts may be cut there.
 EDGE = re.compile(r"(?<=\S)(?= \S)")
-UNEVEN = re.compile(r"^ | $|\s | \s")
+#: Texts with a space at an end or beside other white space.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = f"^ | $|{BLANK} | {BLANK}"
 
 #: Chunks that the model is given at once.
 GROUP = 256
@@ -83,24 +86,35 @@ class IdEncoder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def run(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        chunks: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            own = cut(text)
-            counts[i] = len(own)
-            chunks += own
-        ids, lengths = self.table.gather(self.table.places(chunks))
-        n = sums(lengths, counts)
+    def run(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, each with the end id behind it, and how many ids each text has.
+
+        Evenly spaced texts are cut and their words numbered by Arrow, so only a slice's distinct words are
+        looked up; the others are cut one by one.
+        """
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(~odd)
+        words = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        first = words.offsets.to_numpy()[:-1]
+        counts = np.diff(words.offsets.to_numpy()).astype(np.int64)
+        coded = words.values.dictionary_encode()
+        known = [f" {w}" for w in coded.dictionary.to_pylist()]
+        heads = words.values.take(pa.array(first)).to_pylist()
+        cut = [EDGE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        places = self.table.places([*known, *heads, *(c for own in cut for c in own)])
+        own, rest = places[: len(known)][coded.indices.to_numpy()], places[len(known) + len(heads) :]
+        own[first] = places[len(known) : len(known) + len(heads)]
+        all_counts = np.zeros(len(texts), dtype=np.int64)
+        all_counts[rows] = counts
+        if cut:
+            all_counts[odd] = [len(c) for c in cut]
+            row = np.concatenate([np.repeat(rows, counts), np.repeat(np.flatnonzero(odd), all_counts[odd])])
+            own = np.concatenate([own, rest])[np.argsort(row, kind="stable")]
+        ids, lengths = self.table.gather(own)
+        n = sums(lengths, all_counts)
         return np.insert(ids, np.cumsum(n), end_id).astype(np.int32), n + 1
 
 
-def cut(text: str) -> list[str]:
-    if "\x01" in text or UNEVEN.search(text):
-        return EDGE.split(text)
-    return text.replace(" ", "\x01 ").split("\x01")
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str) -> IdEncoder:
     return IdEncoder(path)
@@ -119,14 +133,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, layout
         own, before = encoder(tokenizer), 0
         for whole in batches:
             for batch in byte_slices(whole, 1):
-                ids, n = own.run([t or "" for t in batch.column(1).to_pylist()], end_id)
+                ids, n = own.run(batch.column(1).fill_null(""), end_id)
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(3), pa.array(starts), pa.array(n), list_column(ids, n, pa.int32())],
                     names=["doc_id", "shard", "before", "n_tokens", "ids"],
                 )
-        own.table.clear()
         give_back()
 
     ranged.mapInArrow(run, SCHEMA).write.options(**layout.options()).parquet(f"{path}/tokens")
