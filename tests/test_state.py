@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilscan.operators import resume
@@ -257,3 +258,36 @@ def test_stream_restart_adds_only_new_files(spark, tmp_path):
     assert run() == (2, 3)
     deliver("three", [("a", "2", "gone"), ("b", "1", "not read again")])
     assert run() == (3, 2)
+
+
+def test_a_failed_write_leaves_the_old_batch(spark, tmp_path):
+    state = ScanState(spark, str(tmp_path / "state"))
+    scan_batch(batch(spark, [("a", "1", "x@y.example"), ("b", "1", "none")]), 0, state)
+    broken = batch(spark, [("a", "2", "none")]).withColumn("error", F.raise_error(F.lit("lost")).cast("string"))
+    for batch_id in (0, 1):
+        with pytest.raises(Exception, match="lost"):
+            state.write_batch(broken, batch_id)
+    assert sorted(tuple(r) for r in state.versions().collect()) == [("a", "1"), ("b", "1")]
+    assert state.batches().count() == 1 and state.findings().count() == 1
+
+
+def test_streams_that_write_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    state = ScanState(spark, str(tmp_path / "state"))
+
+    def write(n):
+        state.write_batch(batch(spark, [("a", str(n), "x"), (f"own{n}", "1", "x")]), n // 3, f"stream{n % 3}")
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(9)))
+    order = [(r.seq, r.stream, r.batch_id) for r in state.batches().orderBy("seq").collect()]
+    assert len({o[0] for o in order}) == 9
+    last = order[-1]
+    versions = dict(tuple(r) for r in state.versions().collect())
+    assert len(versions) == 10 and versions["a"] == str(3 * last[2] + int(last[1][-1]))
+    # A replay of an early batch keeps its place; the file stays at the newest one's version.
+    _, stream, batch_id = order[0]
+    state.write_batch(batch(spark, [("a", "again", "x")]), batch_id, stream)
+    assert dict(tuple(r) for r in state.versions().collect())["a"] == versions["a"]
+    assert state.batches().count() == 9 and state.log().where(f"stream = '{stream}' AND batch_id = {batch_id}").count() == 1

@@ -1,14 +1,18 @@
 """Scan state: an append-only log of per-file results, newest entry wins.
 
-Each batch of each stream is one folder, written whole, so writing it again replaces it (a
-replayed batch changes nothing). A batch gets the next number of the log's sequence when it is
-first written; the highest number wins. Replacing
+A batch is written to a folder with a fresh name, which nobody reads yet. It becomes visible by one small commit
+file, put in place by a rename once the data is complete: a write that fails leaves all that was there before. A commit
+names its folder and has a number one above all that its writer saw; of two writers that took the same
+number at the same time, the commit's own name decides, for every reader alike. A batch that is
+written again is replaced in its place in the sequence, so a replay changes nothing. Replacing
 a file's results needs no rewrite either: its newer entry hides the older one together
 with the older findings.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,6 +30,9 @@ RESULTS_SCHEMA = (
 )
 
 
+COMMITS_SCHEMA = "stream string, batch_id bigint, number bigint, commit string"
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or no rows where nothing has been written yet."""
     try:
@@ -36,6 +43,16 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_table_of_commits(spark: SparkSession, path: str) -> DataFrame:
+    """The commit files; names that begin with ``_`` are not read."""
+    try:
+        return spark.read.schema(COMMITS_SCHEMA).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMITS_SCHEMA)
+
+
 @dataclass(frozen=True)
 class ScanState:
     """The state kept below ``path``."""
@@ -47,11 +64,13 @@ class ScanState:
     def _log(self) -> str:
         return f"{self.path.rstrip('/')}/results"
 
+    @property
+    def _commits(self) -> str:
+        return f"{self.path.rstrip('/')}/commits"
+
     def write_batch(self, results: DataFrame, batch_id: int, stream: str = "main") -> None:
         """Store one batch of results (one row per file) of one stream."""
-        own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
-        seq = self.log().agg(F.max(F.when(own, F.col("seq"))).alias("own"), F.max("seq").alias("last")).first()
-        number = seq["own"] if seq["own"] is not None else (seq["last"] or 0) + 1
+        commit = f"c{uuid.uuid4().hex}"
         schema = self.spark.createDataFrame([], RESULTS_SCHEMA).schema
         rows = results
         if "last_scanned" not in rows.columns:
@@ -62,17 +81,39 @@ class ScanState:
                 .cast(f.dataType)
                 .alias(f.name)
                 for f in schema
-            ],
-            F.lit(number).cast("bigint").alias("seq"),
-        ).write.mode("overwrite").parquet(f"{self._log}/stream={stream}/batch_id={batch_id}")
+            ]
+        ).write.parquet(f"{self._log}/commit={commit}")
+        last = read_table_of_commits(self.spark, self._commits).agg(F.max("number")).first()[0]
+        self._put({"stream": stream, "batch_id": batch_id, "number": (last or 0) + 1, "commit": commit})
+
+    def _put(self, entry: dict) -> None:
+        """Write a commit under a name that readers skip, then rename it: it is there whole or not at all."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        hidden, name = (jvm.org.apache.hadoop.fs.Path(f"{self._commits}/{x}{entry['commit']}.json") for x in ("_", ""))
+        files = name.getFileSystem(conf)
+        out = files.create(hidden, False)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        if not files.rename(hidden, name):
+            raise OSError(f"could not commit {name}")
+
+    def batches(self) -> DataFrame:
+        """What is visible, a row per batch: ``stream, batch_id, commit`` (its folder), ``seq`` (its place, as text)."""
+        place = F.struct("number", "commit")
+        every = read_table_of_commits(self.spark, self._commits).groupBy("stream", "batch_id")
+        # A replayed batch keeps the place of its first commit.
+        first = F.min(place).alias("first")
+        rows = every.agg(first, F.max(place)["commit"].alias("commit"))
+        return rows.select("stream", "batch_id", "commit", F.format_string("%019d-%s", "first.number", "first.commit").alias("seq"))
 
     def log(self, before: int | None = None, stream: str = "main") -> DataFrame:
         """All entries; with ``before`` those that a batch of ``stream`` finds: not its own
         and later ones of the same stream."""
-        rows = read_table(self.spark, self._log, RESULTS_SCHEMA + ", seq bigint, stream string, batch_id bigint")
-        if before is None:
-            return rows
-        return rows.where((F.col("stream") != stream) | (F.col("batch_id") < before))
+        visible = self.batches()
+        if before is not None:
+            visible = visible.where((F.col("stream") != stream) | (F.col("batch_id") < before))
+        rows = read_table(self.spark, self._log, RESULTS_SCHEMA + ", commit string")
+        return rows.join(visible, "commit").drop("commit")
 
     def results(self, before: int | None = None, stream: str = "main") -> DataFrame:
         """Newest results per file, optionally as they were before a batch."""
