@@ -1336,23 +1336,22 @@ def local_mime(spark, sf_dir):
     "local_folder_scan",
     with_ctes(
         sql.scan_ctes(
-            "SELECT CAST(item_id % 8 AS VARCHAR) AS id,"
-            " string_agg(text || chr(10), '' ORDER BY item_id) AS text FROM benchmark GROUP BY ALL"
+            "SELECT CAST(floor(coalesce(item_id, 0) / 25) AS VARCHAR) AS id,"
+            " string_agg(text || chr(10), '' ORDER BY item_id NULLS FIRST) AS text FROM benchmark GROUP BY ALL"
         ),
         'SELECT entity_type, confidence, "start", "end", masked_value FROM findings',
     ),
 )
 def local_folder_scan(spark, sf_dir):
-    """Benchmark items written to eight text files, then scanned from disk by name and suffix.
+    """Benchmark items written to text files of 25 ids each, then scanned from disk by name and suffix.
 
     Spark names the files, so names are left out of the comparison, but for their form.
     """
-    items = table(spark, sf_dir, "benchmark").repartition(8, F.col("item_id") % 8)
+    part = F.floor(F.coalesce("item_id", F.lit(0)) / 25).alias("part")
+    items = table(spark, sf_dir, "benchmark").select(part, "item_id", "text").repartition("part")
     folder = f"{shared_folder(spark)}/inbox"
-    for part in range(8):
-        own = items.where(F.col("item_id") % 8 == part).coalesce(1).sortWithinPartitions("item_id")
-        own.select("text").write.mode("append").text(folder)
-    results = files.scan_local_folder(spark, folder)
+    items.sortWithinPartitions("part", "item_id").select("part", "text").write.partitionBy("part").text(folder)
+    results = files.scan_local_folder(spark, f"{folder}/*")
     return risk.findings_of_results(results.where("file_id LIKE 'local_part-%'")).drop("file_id")
 
 
