@@ -333,7 +333,8 @@ LETTER_SQL = (
     " || chr(10) || '여권 M' || lpad(CAST(o_orderkey % 100000000 AS VARCHAR), 8, '0')"
     " || chr(10) || '+82 10 ' || CAST(1000 + c_custkey % 9000 AS VARCHAR) || ' 5678, 02-'"
     " || CAST(1000 + o_orderkey % 9000 AS VARCHAR) || '-1234, ' || lower(replace(c_name, '#', '.'))"
-    " || '@example.com' AS text FROM orders JOIN customer ON o_custkey = c_custkey"
+    f" || '@example.com' || chr(10) || 'RRN ' || replace({RRN_SQL}, '-', '') || ', passport KR'"
+    " || lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') AS text FROM orders JOIN customer ON o_custkey = c_custkey"
 )
 
 
@@ -358,6 +359,8 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
         line, F.lit("+82 10 "), number(1000 + cust % 9000), F.lit(" 5678, 02-"),
         number(1000 + order % 9000), F.lit("-1234, "), F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
         F.lit("@example.com"),
+        line, F.lit("RRN "), F.replace(rrn_of_customer(), F.lit("-"), F.lit("")),
+        F.lit(", passport KR"), number(order % 10000000, 7),
     )
     joined = orders.join(customer, F.col("o_custkey") == cust)
     return joined.select(number(order).alias("file_id"), text.alias("text"))
