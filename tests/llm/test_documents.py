@@ -365,8 +365,8 @@ def test_secret_bombs_and_junk():
     import base64
     import zlib as z
 
-    bomb = base64.b64encode(z.compress(b"\0" * (secrets.INFLATE_LIMIT + 5), 9)).decode()
-    assert [(k, base) for _, k, _, base in secrets.secrets(f"a {bomb}")] == [(3, False)]
+    bomb = base64.b64encode(z.compress(b"\0" * (5 * secrets.BLOCK) + b"token=abcdefgh", 9)).decode()
+    assert [(k, base) for _, k, _, base in secrets.secrets(f"a {bomb}")] == [(0, False)]
     for junk in ("%", "%zz %e2%28", "\\ud800\\u", "&#0; &#x110000; &#99999999;", base64.b64encode(b"\x1f\x8b rest of it").decode(), "A" * 17):
         assert isinstance(secrets.secrets(junk), list)
 
@@ -396,17 +396,181 @@ def test_secrets_in_any_base64():
         assert found(f"see: {lines}") == [(lines, 0, False)]
 
 
+def nested_data(rng, depth: int) -> bytes:
+    """Random words, secrets and packed, coded or escaped data in each other."""
+    import base64
+    import gzip
+    import zlib as z
+
+    parts = []
+    for _ in range(rng.randrange(1, 4)):
+        kind = rng.randrange(9 if depth else 3)
+        if kind == 0:
+            parts.append(rng.choice([b"password=hunter2hunter2", b"AKIA" + b"Z9" * 10, b"0123456789abcdef" * 2]))
+        elif kind < 3:
+            parts.append(b" ".join(rng.choice([b"one", b"two,", b"token", b"x\x9c", b"\x1f\x8b\x08"]) for _ in range(rng.randrange(60))))
+        else:
+            inner = nested_data(rng, depth - 1)
+            if kind == 3:
+                packed = gzip.compress(inner, rng.choice([0, 6])) + gzip.compress(b"tail")
+                parts.append(packed)
+            elif kind == 4:
+                parts.append(z.compress(inner, rng.choice([0, 9])))
+            elif kind == 5:
+                parts.append(base64.b64encode(inner))
+            elif kind == 6:
+                parts.append("".join(f"%{b:02X}" for b in inner).encode())
+            elif kind == 7:
+                parts.append(gzip.compress(inner)[: -rng.randrange(1, 12)])
+            else:
+                parts.append(inner.decode("latin-1").encode("utf-16-le"))
+        parts.append(rng.choice([b",\n", b"\0\0", b"; ,"]))
+    return b"".join(parts)
+
+
+def plain_secrets(text: str) -> set[tuple[int, int, int]]:
+    """All spans by plain recursion over whole layers, each character with a place of its own."""
+    import base64
+    import re
+    import zlib as z
+
+    found, seen = set(), set()
+
+    def members(data: bytes):
+        """(start, end, whole inflated data); everything is tried one byte at a time, at the outside of intact members."""
+        at = 0
+        while at < len(data) - 2:
+            if not secrets.PACKED.match(data, at):
+                at += 1
+                continue
+            out, end, free = b"", at, at + 1
+            while secrets.PACKED.match(data, end):
+                inflate, here = z.decompressobj(47), end
+                try:
+                    while here < len(data) and not inflate.eof:
+                        out += inflate.decompress(data[here : here + 1])
+                        here += 1
+                except z.error:
+                    end = here
+                    break
+                end = here
+                if not inflate.eof:
+                    break
+                free = end
+            if out:
+                yield at, end, out
+            at = free
+
+    def data_layers(data: bytes, places: list):
+        whole = [(data.decode("latin-1"), places)]
+        for m in secrets.WIDE.finditer(data):
+            a, b = m.span()
+            whole.append((m[0].replace(b"\0", b"").decode(), [(places[a][0], places[b - 1][1])] * ((b - a) // 2)))
+        for layer in whole:
+            visit(*layer)
+        for a, b, out in members(data):
+            data_once(out, (places[a][0], places[b - 1][1]))
+
+    def data_once(out: bytes, place: tuple):
+        if (out, place) not in seen:
+            seen.add((out, place))
+            data_layers(out, [place] * len(out))
+
+    def visit(text: str, places: list):
+        if not text or (text, places[0], places[-1]) in seen:
+            return
+        seen.add((text, places[0], places[-1]))
+        for a, kind, b in secrets.scan(text):
+            found.add((min(p for p, _ in places[a:b]), kind, max(q for _, q in places[a:b])))
+        for pattern, chars in ((secrets.PERCENT, secrets.percent_chars), (secrets.ESCAPES, secrets.escape_chars)):
+            new, at = [], 0
+            for m in pattern.finditer(text):
+                new += zip(text[at : m.start()], places[at : m.start()], strict=True)
+                at = m.start()
+                for c, width in chars(m[0]):
+                    new.append((c, (places[at][0], places[at + width - 1][1])))
+                    at += width
+            if at:
+                new += zip(text[at:], places[at:], strict=True)
+                visit("".join(c for c, _ in new), [p for _, p in new])
+        for m in secrets.BASE64.finditer(text):
+            raw, own = "", []
+            lines = [r.span() for r in re.finditer(r"[A-Za-z0-9+/_-]+", text[: m.end()]) if r.start() >= m.start()]
+            for i, (a, b) in enumerate(lines):
+                raw += text[a:b]
+                till = m.end() if i == len(lines) - 1 else b
+                own += [(min(p for p, _ in places[a:till]), max(q for _, q in places[a:till]))] * (b - a)
+            for offset in range(4):
+                run = raw[offset:]
+                run = run[: len(run) - (len(run) % 4 == 1)].replace("-", "+").replace("_", "/")
+                if len(run) * 3 // 4 >= 12:
+                    data = base64.b64decode(run + "=" * (-len(run) % 4))
+                    last = len(own) - 1
+                    data_layers(data, [(own[min(last, offset + i * 8 // 6)][0], own[min(last, offset + (i * 8 + 7) // 6)][1]) for i in range(len(data))])
+
+    visit(text, [(i, i + 1) for i in range(len(text))])
+    return found | set(secrets.scan(text))
+
+
+def test_secrets_of_random_nestings(monkeypatch):
+    import base64
+    import random
+
+    hits = 0
+    for seed in range(80):
+        rng = random.Random(seed)
+        data = nested_data(rng, 4)
+        text = rng.choice(["see: ", "é\n", "token "]) + base64.b64encode(data).decode() + rng.choice([" end", "!", ""])
+        want = plain_secrets(text)
+        hits += len(want)
+        for block, step in ((8 << 20, 4 << 10), (2000, 7), (3000, 100)):
+            monkeypatch.setattr(secrets, "BLOCK", block)
+            monkeypatch.setattr(secrets, "FED", step)
+            assert {s[:3] for s in secrets.secrets(text)} == want, (seed, block)
+    assert hits > 50
+
+
 def test_secrets_in_large_inflated_data(monkeypatch):
+    """Nested packed data over every edge of a block, and secrets at the edges."""
     import base64
+    import gzip
+    import random
+    import zlib as z
+
+    monkeypatch.setattr(secrets, "BLOCK", 1 << 16)
+    coded = lambda data: base64.b64encode(data).decode()
+    inner = gzip.compress(random.Random(1).randbytes(1 << 17) + b", password=hunter2hunter2")
+    for at in (0, (1 << 16) - 9, (1 << 16) - 1, 1 << 16, (1 << 18) - 9, 1 << 20):
+        for secret in (b"password=hunter2hunter2", inner, base64.b64encode(inner)):
+            data = b", " * (at // 2) + b"," * (at % 2) + secret + b", " * (1 << 17)
+            text = "a " + coded(z.compress(data, 9))
+            assert secrets.secrets(text) == [(2, 0, len(text), False)]
+
+
+def test_many_members_take_linear_time():
+    import base64
+    import gzip
+    import random
+    import time
+
+    members = [gzip.compress(random.Random(i).randbytes(800)) for i in range(400)]
+    members.append(gzip.compress(b"password=hunter2hunter2"))
+    for between in (b"", b", "):
+        text = base64.b64encode(between.join(members)).decode()
+        start = time.process_time()
+        assert secrets.secrets(text) == [(0, 0, len(text), False)]
+        assert time.process_time() - start < 2
+    deep = b"password=hunter2hunter2"
+    for _ in range(1200):
+        deep = z_compress(deep)
+    text = base64.b64encode(deep).decode()
+    assert secrets.secrets(text) == [(0, 0, len(text), False)]
+
+
+def z_compress(data: bytes) -> bytes:
     import zlib as z
 
-    monkeypatch.setattr(secrets, "INFLATE_LIMIT", 1 << 20)
-    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
-    monkeypatch.setattr(secrets, "STEP", 1 << 18)
-    for at in (0, (1 << 20) - 9, (1 << 20) + (1 << 18) - 9, 3 << 20):
-        data = b" " * at + b"password=hunter2hunter2" + b" " * (3 << 20)
-        text = "a " + base64.b64encode(z.compress(data, 9)).decode()
-        assert [k for _, k, _, _ in secrets.secrets(text)] == [0, 3]
+    return z.compress(data, 1)
 
 
 def test_secrets_of_edge_rows(spark):

@@ -10,20 +10,26 @@ in a base64 layer covers the whole run, or its lines in a run of several.
 A base64 run goes on over line ends and is decoded from each of its first four characters, so that data
 behind other characters of the alphabet (as in a path) is decoded in step. Decoded data is read as Latin-1,
 which has all ASCII of UTF-8 too, and as UTF-16 where it alternates with zeros, whatever other bytes are in
-it; all patterns are ASCII. gzip and zlib data is inflated wherever it starts, in its turn too.
-
-Positions are code points, ends exclusive. Rows without a text count as empty texts: no spans. Data that
-inflates to more than ``INFLATE_LIMIT`` bytes is scanned in blocks of that size that overlap by ``OVERLAP``;
-its run is reported as a span of kind ``packed`` besides.
+it; all patterns are ASCII. gzip and zlib data is inflated wherever it starts, in its turn too: it passes
+through as a stream, each level feeding the next, so its size and depth change nothing but the time, with one
+exception: an unbroken stretch of more than four ``BLOCK``s in it (32 MB without a comma, bracket or the like)
+is looked at in overlapping pieces, and packed data of over 8 MB that is coded in such a stretch may be found
+in part only. Broken data is inflated up to the broken byte; an intact member is passed over whole, and what follows it directly
+belongs to the same data.
+
+Positions are code points, ends exclusive. Rows without a text (null or empty) have no spans. Rows are judged
+each by itself: repeated rows give the same spans again, and spans that start together are listed by kind, then
+end. An input column named ``secrets`` gives way to the result.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +40,9 @@ from pyspark.sql import types as T
 from veilscan.llm.common import byte_slices, small_batches
 
 #: Kinds in the order in which spans of one start are listed.
-KINDS = ("assign", "access", "hex", "packed")
-INFLATE_LIMIT = 32 << 20
-OVERLAP = 8 << 20
-STEP = 1 << 20
+KINDS = ("assign", "access", "hex")
+BLOCK = 8 << 20  # bytes of inflated data looked at together; it changes no result, see blocks()
+FED = 4 << 10  # bytes inflated at once: 4 MB at most come out
 
 # Fixed patterns.
 ASSIGN = re.compile(
@@ -56,6 +61,8 @@ SHORTEST = 12  # characters of the shortest secret, "token=abcdef"; no encoding
 ASCII = re.compile(rb"[\x00-\x7f]{12}")
 WIDE = re.compile(rb"(?:[\x01-\x7f]\x00){12,}+|(?:\x00[\x01-\x7f]){12,}+")
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+# Bytes that are part of no secret and no encoded run in any layer; the second of two zeros ends UTF-16.
+LAST_SAFE = re.compile(rb"""(?s:.*)(?:[^A-Za-z0-9+/_.=\-"':\x20\t\r\n%\\&#;\0]|\0(?=\0))""")
 
 SPANS = T.ArrayType(
     T.StructType(
@@ -140,38 +147,179 @@ class Layer:
         return Layer("".join(text), np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]]))
 
 
-def inflate(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
-    """Inflated pieces of the members at ``at`` (a cut one as far as it goes), and where in ``data`` each ends."""
-    while PACKED.match(data, at):
-        z, rest = zlib.decompressobj(47), data[at:]
-        while not z.eof:
-            try:
-                out = z.decompress(rest, STEP)
-            except zlib.error:
-                return
-            rest = z.unconsumed_tail
-            if not out and not rest and not z.eof:
-                return
-            yield out, len(data) - len(z.unused_data if z.eof else rest)
-        at = len(data) - len(z.unused_data)
-
-
-def streams(data: bytes) -> Iterator[tuple[bytes, int, int, bool]]:
-    """All inflated blocks of the gzip and zlib data in ``data``: block, place in it, whether beyond the limit."""
-    at = 0
-    while m := PACKED.search(data, at):
-        kept, fresh, end, large = bytearray(), 0, m.end(), False
-        for out, end in inflate(data, m.start()):
-            kept += out
-            fresh += len(out)
-            if len(kept) > INFLATE_LIMIT:
-                large = True
-                yield bytes(kept), m.start(), end, True
-                del kept[:-OVERLAP]
-                fresh = 0
-        if fresh:
-            yield bytes(kept), m.start(), end, large
-        at = m.start() + 1
+def fed(z, data: memoryview) -> tuple[list[bytes], int]:
+    """What ``z`` makes of ``data`` up to its end or the first broken byte, and how many bytes were taken."""
+    before = z.copy()
+    try:
+        return [z.decompress(data)], len(data) - len(z.unused_data)
+    except zlib.error:
+        pass
+    out, at, size = [], 0, len(data) // 2
+    while size:
+        trial = before.copy()
+        try:
+            out.append(trial.decompress(data[at : at + size]))
+            before, at = trial, at + size
+            size = min(size, len(data) - at)
+        except zlib.error:
+            size //= 2
+    return out, at
+
+
+class Members:
+    """gzip and zlib members that follow each other from ``start`` on, inflated as their bytes come in.
+
+    ``end`` is where the bytes taken so far end, ``free`` the first place that no intact member covers.
+    """
+
+    def __init__(self, start: int):
+        self.start = self.end = self.free = start
+        self.z, self.head, self.over, self.digest = None, b"", False, None
+
+    def feed(self, data: memoryview) -> Iterator[bytes]:
+        at = 0
+        while at < len(data) and not self.over:
+            if self.z is None:  # the signature of a member may come in several pieces
+                at += 1
+                self.head += data[at - 1 : at]
+                if PACKED.match(self.head):
+                    self.z, self.free, head = zlib.decompressobj(47), self.end + 1, self.head
+                    self.head = b""
+                    yield from self.part(head)
+                elif len(self.head) == 3:
+                    self.over = True
+            else:
+                piece = data[at : at + FED]
+                taken = yield from self.part(piece)
+                at += taken
+
+    def part(self, piece: memoryview | bytes) -> Iterator[bytes]:
+        out, taken = fed(self.z, piece)
+        yield from filter(None, out)
+        self.end += taken
+        if self.z.eof:
+            self.z, self.free = None, self.end
+        else:
+            self.over = taken < len(piece)
+        return taken
+
+    def sign(self, data: memoryview) -> None:
+        """Takes ``data`` and keeps nothing but a digest of the inflated bytes, None as long as there are none."""
+        for out in self.feed(data):
+            self.digest = self.digest or hashlib.blake2b(digest_size=16)
+            self.digest.update(out)
+
+
+#: Data as pieces in order; they can be asked for again.
+Pieces = Callable[[], Iterable[bytes]]
+
+
+def inflated(data: Pieces, start: int) -> Iterator[bytes]:
+    """Inflated pieces of the members of ``data`` that begin at ``start``."""
+    members, before = Members(start), 0
+    for piece in data():
+        if before + len(piece) > start:
+            yield from members.feed(memoryview(piece)[max(0, start - before) :])
+        if members.over:
+            return
+        before += len(piece)
+
+
+def packed(data: Pieces) -> list[tuple[int, int, bytes]]:
+    """(start, end, digest of the inflated bytes) of all packed data in ``data``.
+
+    It may start at every signature outside of intact members; a broken one is taken as far as it goes.
+    """
+    tried: list[Members] = []
+    live: list[Members] = []
+    tail, before, free = b"", 0, 0
+    for piece in data():
+        for members in live:
+            members.sign(memoryview(piece))
+        seen, first, at = tail + piece, before - len(tail), 0
+        while m := PACKED.search(seen, at):
+            start, at = first + m.start(), m.start() + 1
+            free = max([free, *(x.free for x in live)])
+            if start < free:
+                at = max(at, min(free - first, len(seen)))
+            elif m.end() > len(tail):  # others were tried with the piece before
+                members = Members(start)
+                members.sign(memoryview(seen)[m.start() :])
+                tried.append(members)
+                live.append(members)
+                free = max(free, members.free)
+                live = [x for x in live if not x.over]
+        tried = [x for x in tried if x.digest or not x.over]
+        before += len(piece)
+        tail = seen[-2:]
+    found, free = [], 0
+    for members in tried:
+        if members.start >= free and members.digest:
+            found.append((members.start, members.end, members.digest.digest()))
+            free = max(free, members.free)
+    return found
+
+
+def blocks(data: Pieces) -> Iterator[bytes]:
+    """``data`` in blocks of about ``BLOCK`` bytes, cut where no secret and no encoded run can go on.
+
+    Only a stretch of more than four blocks without such a place is cut in its midst, with a block of overlap.
+    """
+    kept = bytearray()
+    for piece in data():
+        kept += piece
+        if len(kept) < BLOCK:
+            continue
+        if m := LAST_SAFE.match(kept, max(0, len(kept) - len(piece) - 1)):
+            cut = m.end()
+            del m
+            yield bytes(kept[:cut])
+            del kept[:cut]
+        elif len(kept) > 4 * BLOCK:
+            yield bytes(kept)
+            del kept[:-BLOCK]
+    if kept:
+        yield bytes(kept)
+
+
+def inflated_layers(data: Pieces, place: Callable[[int, int], tuple[int, int]], known: set) -> Iterator[Layer]:
+    """Layers of all packed data in ``data``, nested ones too, however large: nothing is held but one block per level.
+
+    Data whose digest was ``known`` at its place is not taken again, which ends cycles.
+    """
+    levels = [(data, packed(data)[::-1], place)]
+    while levels:
+        data, hits, place = levels.pop()
+        if not hits:
+            continue
+        start, end, digest = hits.pop()
+        if hits:
+            levels.append((data, hits, place))
+        first, last = place(start, end)
+        if (first, last, digest) in known:
+            continue
+        known.add((first, last, digest))
+        inner: Pieces = functools.partial(inflated, data, start)
+        held = bytearray()
+        for piece in inner():
+            held += piece
+            if len(held) > BLOCK:
+                break
+        else:  # small enough to be inflated once
+            inner = functools.partial(iter, [bytes(held)])
+        del held
+        here = functools.partial(lambda first, last, *_: (first, last), first, last)
+        for block in blocks(inner):
+            yield from ascii_layers(block, here)
+        levels.append((inner, packed(inner)[::-1], here))
+
+
+def ascii_layers(data: bytes, place: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
+    """``data`` as Latin-1, if a secret fits in it, and its stretches of UTF-16."""
+    if ASCII.search(data):
+        yield Layer(data.decode("latin-1"), *place(0, len(data)))
+    for w in WIDE.finditer(data):
+        yield Layer(w[0].replace(b"\0", b"").decode(), *place(*w.span()))
 
 
 class Places:
@@ -189,8 +337,8 @@ class Places:
         return self.starts[line(offset + first * 8 // 6)], self.ends[line(offset + (last * 8 + 7) // 6)]
 
 
-def base64_layers(layer: Layer, m: re.Match, found: set) -> Iterator[Layer]:
-    """Layers of what a base64 run holds; places of data beyond the limit go to ``found``."""
+def base64_layers(layer: Layer, m: re.Match, known: set) -> Iterator[Layer]:
+    """Layers of what a base64 run holds."""
     lines = [r.span() for r in RUN.finditer(layer.text, m.start(), m.end())]
     raw = "".join(layer.text[a:b] for a, b in lines).encode().translate(URL_SAFE)
     lines[-1] = lines[-1][0], m.end()
@@ -203,58 +351,49 @@ def base64_layers(layer: Layer, m: re.Match, found: set) -> Iterator[Layer]:
         if not ASCII.search(data) and not PACKED.search(data):
             continue
         places = places or Places(layer, lines)
-        if ASCII.search(data):
-            if places.one:
-                start, end = int(places.starts[0]), int(places.ends[0])
-            else:
-                at = np.arange(len(data))
-                start, end = places.of(at, at, offset)
-            yield Layer(data.decode("latin-1"), start, end)
+
+        def place(start: int, end: int) -> tuple[int, int]:
+            first, last = places.of(start, end - 1, offset)  # noqa: B023
+            return int(first), int(last)
+
+        if ASCII.search(data) and not places.one:
+            at = np.arange(len(data))
+            yield Layer(data.decode("latin-1"), *places.of(at, at, offset))
             for w in WIDE.finditer(data):
-                start, end = places.of(w.start(), w.end() - 1, offset)
-                yield Layer(w[0].replace(b"\0", b"").decode(), int(start), int(end))
-        for block, first, last, large in streams(data):
-            start, end = map(int, places.of(first, last - 1, offset))
-            inner, seen = [(block, large)], set()
-            while inner:
-                block, large = inner.pop()
-                if large:
-                    found.add((start, 3, end))
-                if (key := hashlib.blake2b(block, digest_size=16).digest()) in seen:
-                    continue
-                seen.add(key)
-                if ASCII.search(block):
-                    yield Layer(block.decode("latin-1"), start, end)
-                    for w in WIDE.finditer(block):
-                        yield Layer(w[0].replace(b"\0", b"").decode(), start, end)
-                inner += [(b, big) for b, _, _, big in streams(block)]
-
-
-def unwrapped(layer: Layer, found: set) -> Iterator[Layer]:
+                yield Layer(w[0].replace(b"\0", b"").decode(), *place(*w.span()))
+        else:
+            yield from ascii_layers(data, place)
+        if PACKED.search(data):
+            yield from inflated_layers(functools.partial(iter, [data]), place, known)
+
+
+def unwrapped(layer: Layer, known: set) -> Iterator[Layer]:
     for pattern, chars, sign in ((PERCENT, percent_chars, "%"), (ESCAPES, escape_chars, ("\\", "&#"))):
         if any(s in layer.text for s in sign) and (new := layer.rewritten(pattern, chars)):
             yield new
     for m in BASE64.finditer(layer.text):
-        yield from base64_layers(layer, m, found)
+        yield from base64_layers(layer, m, known)
 
 
 def secrets(text: str) -> list[tuple[int, int, int, bool]]:
     """All spans of one text as (start, kind, end, base), in that order."""
     base = set(scan(text))
     found: set[tuple[int, int, int]] = set()
-    worklist, seen = [], set()
+    worklist, seen, known = [], set(), set()
     if "%" in text or "\\" in text or "&#" in text or BASE64.search(text):
-        worklist.append(Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1)))
-        seen.add(worklist[0].key())
-    while worklist:
-        for layer in unwrapped(worklist.pop(), found):
-            if not layer.text or (key := layer.key()) in seen:
-                continue
+        whole = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
+        seen.add(whole.key())
+        worklist.append(unwrapped(whole, known))
+    while worklist:  # of layers still to come: each is made when its turn comes, so that few are held
+        layer = next(worklist[-1], None)
+        if layer is None:
+            worklist.pop()
+        elif layer.text and (key := layer.key()) not in seen:
             seen.add(key)
-            worklist.append(layer)
             for start, kind, end in scan(layer.text):
                 first, last = layer.place(start, end)
                 found.add((first, kind, last))
+            worklist.append(unwrapped(layer, known))
     return sorted([*((*s, True) for s in base), *((*s, False) for s in found - base)])
 
 
