@@ -168,42 +168,61 @@ def test_record_stream_in_small_steps():
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "ann", "hi <|x|>"), (1, 2, "bob", None), (1, 2, None, "é"), (1, 2, "bob", None), (2, None, "ann", "q"),
     (3, 0, "system", "alone"), (None, 0, "ann", "x"), (None, 0, "bob", "y"), (4, 255, "a", "p"), (4, 256, "b", "q"), (5, 0, "a", ""),
+    (None, 0, "ann", "x"), (6, None, "cy", "ok"), (6, None, "cy", "ok"), (6, 1, "system", "s"), (6, None, None, None),
 ]
 
 
 def turns_of(spark, rows=TURNS):
-    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "'l' AS lone", "2 AS turns")
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "'l' AS range", "2 AS turns", "3 AS width", "'d' AS digest")
+
+
+def dialogue(turns, speaker, size):
+    """Parts of the whole dialogue: number of turns, text, spans in the whole."""
+    at, parts = 0, []
+    for first in range(0, len(turns), size):
+        text, mask = "", []
+        for _, role, own in turns[first : first + size]:
+            head = "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+            body = own.replace("<|", "< |") + "<|end|>"
+            if role == speaker:
+                mask.append((at + len(text + head), at + len(text + head + body)))
+            text += head + body + "\n"
+        parts.append((len(turns[first : first + size]), text, mask))
+        at += len(text)
+    return parts
+
+
+def dialogues(rows, size):
+    groups: dict = {}
+    for i, (conv, turn, role, text) in enumerate(rows):
+        groups.setdefault((conv, i if conv is None else None), []).append((turn, role or "unknown", text or ""))
+    want = []
+    for (conv, _), turns in groups.items():
+        turns.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).hexdigest()))
+        for speaker in {r for _, r, _ in turns} - {"system"}:
+            want += [(str(conv), speaker, i, *part) for i, part in enumerate(dialogue(turns, speaker, size))]
+    return sorted(want)
 
 
-def dialogue(turns, speaker):
-    text, mask = "", []
-    for _, role, own in turns:
-        head = "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
-        body = own.replace("<|", "< |") + "<|end|>"
-        if role == speaker:
-            mask.append((len(text + head), len(text + head + body)))
-        text += head + body + "\n"
-    return text, mask
+def shown(done):
+    return sorted((str(r.conv_id), r.perspective, r.part, r.n_turns, r.text, [tuple(m) for m in r["mask"]]) for r in done.collect())
 
 
 def test_perspectives_of_edge_rows(spark):
-    groups: dict = {}
-    for conv, turn, role, text in TURNS:
-        row = (turn, role or "unknown", text or "")
-        lone = row if conv is None else None
-        part = None if turn is None else turn // 256
-        groups.setdefault((conv, lone), {}).setdefault(part, set()).add(row)
-    want = []
-    for (conv, _), parts in groups.items():
-        for speaker in {r for rows in parts.values() for _, r, _ in rows} - {"system"}:
-            for part, rows in parts.items():
-                text, mask = dialogue(sorted(rows, key=lambda r: (r[0] is not None, r)), speaker)
-                want.append((str(conv), speaker, str(part), len(rows), text, mask))
-    got = chat.perspectives(turns_of(spark)).collect()
-    assert sorted((str(r.conv_id), r.perspective, str(r.part), r.n_turns, r.text, [tuple(m) for m in r["mask"]]) for r in got) == sorted(want)
+    assert shown(chat.perspectives(turns_of(spark))) == dialogues(TURNS, chat.PART)
     assert chat.perspectives(turns_of(spark, [])).count() == 0
 
 
+def test_perspectives_of_a_long_dialogue(spark, monkeypatch):
+    """Null and repeated turn numbers, many parts and blocks: one run of offsets, nothing lost."""
+    rng = random.Random(3)
+    monkeypatch.setattr(chat, "PART", 8)
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    rows = [(7, rng.choice([None, 1, 2, i]), rng.choice(["a", "bob", "system", None]), rng.choice(["ok", "é <|", None, "x" * i])) for i in range(300)]
+    rows += [(7, None, "a", "ok")] * 300 + [(8, i, rng.choice("ab"), "") for i in range(70)] + TURNS
+    assert shown(chat.perspectives(turns_of(spark, rows))) == dialogues(rows, 8)
+
+
 def test_perspectives_run_no_python(spark):
     plan = chat.listed(turns_of(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(k in plan for k in ("Python", "Arrow", "Pandas"))
