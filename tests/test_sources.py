@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from veilscan.operators import listing
@@ -34,6 +36,30 @@ def test_decoding(spark):
     }
 
 
+def test_decoding_is_that_of_the_codecs(spark):
+    """Every pair of bytes, spelled syllables, random and cut bytes; no Python in the plan."""
+    rng = random.Random(5)
+
+    def plain(raw):
+        for charset in ("utf-8", "euc-kr", "cp949"):
+            try:
+                return raw.decode(charset)
+            except UnicodeDecodeError:
+                continue
+        return raw.decode("latin-1")
+
+    raws = [bytes([a, b, 65]) for a in range(128, 256) for b in range(256)]
+    spelled = ["\ub894\uac02".encode("euc-kr"), b"\xa4\xd4\xa4\xa1\xa4\xbf\xa4\xd4", b"\xa4\xd4", b"\xa4\xd4\xa4\xd4\xa4\xbf\xa4\xd4"]
+    units = [*spelled, "\ud55c\uae00".encode("euc-kr"), "\ub620".encode("cp949"), "\ubdc1".encode("cp949"), b"a\n", b"\xe9", b"\xa4"]
+    raws += [b"".join(rng.choices(units, [4, 4, 1, 1, 9, 9, 1, 9, 1, 1], k=rng.randrange(1, 6))) for _ in range(1500)]
+    raws += [b"\xa4\xd4" + bytes(x for _ in range(3) for x in (0xA4, rng.randrange(0xA0, 256))) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, bytearray(raw)) for i, raw in enumerate(raws)], "id int, content binary")
+    done = rows.repartition(8).select("id", files.plain_text(F.col("content")).alias("text"))
+    assert not any(k in done._jdf.queryExecution().executedPlan().toString() for k in ("Python", "Arrow"))
+    got = {r.id: r.text for r in done.collect()}
+    assert [(raws[i], got[i]) for i in got if got[i] != plain(raws[i])] == []
+
+
 def test_csv(spark):
     rows = 'a, b ,,c\n\n"two\nlines","say ""hi"""\r\n  ,  \nlast'
     got = texts_of(spark, [("csv", SHEET, bytearray(rows.encode())), ("same", "text/csv", bytearray("가,나".encode("cp949")))])

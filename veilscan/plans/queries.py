@@ -1317,6 +1317,34 @@ def extract_csv(spark, sf_dir):
     return files.extract_text(made).select("file_id", "text")
 
 
+# A line per order in one of four charsets; its last character is in that charset only, and "\xe9!" is Latin-1.
+LEGACY_SQL = (
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN chr(45432) WHEN 1 THEN chr(46624) WHEN 2 THEN chr(233) || '!'"
+    " ELSE chr(8364) END AS last FROM orders"
+)
+
+
+@register(
+    "extract_legacy",
+    f"SELECT CAST(o_orderkey AS VARCHAR) AS file_id, 'order ' || o_orderkey || ' ' || last AS text FROM ({LEGACY_SQL})",
+)
+def extract_legacy(spark, sf_dir):
+    """Texts in EUC-KR, its extension CP949, Latin-1 and UTF-8, told apart by their bytes."""
+    key = F.col("o_orderkey")
+    last = (
+        F.when(key % 4 == 0, F.lit("\ub178".encode("euc-kr")))
+        .when(key % 4 == 1, F.lit("\ub620".encode("cp949")))
+        .when(key % 4 == 2, F.lit("\xe9!".encode("latin-1")))
+        .otherwise(F.lit("\u20ac".encode()))
+    )
+    made = table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("file_id"),
+        F.lit("text/plain").alias("mime_type"),
+        F.concat(F.encode(F.concat(F.lit("order "), key.cast("string"), F.lit(" ")), "UTF-8"), last).alias("content"),
+    )
+    return files.extract_text(made).select("file_id", "text")
+
+
 @register(
     "local_mime",
     "SELECT o_orderkey, CASE lower(suffix) WHEN '.pdf' THEN 'application/pdf' WHEN '.docx' THEN"
@@ -1358,12 +1386,19 @@ def local_folder_scan(spark, sf_dir):
     return risk.findings_of_results(results.where("file_id LIKE 'local_part-%'")).drop("file_id")
 
 
-@register("missing_store", "SELECT 0::BIGINT AS scanned_count, 0::BIGINT AS findings_count, count(*) AS documents FROM documents")
+@register(
+    "missing_store",
+    "SELECT CAST(doc_id AS VARCHAR) AS file_id, 'v1' AS modified_time, CAST(0 AS BIGINT) AS scanned_count,"
+    " CAST(0 AS BIGINT) AS findings_count FROM documents",
+)
 def missing_store(spark, sf_dir):
-    """Statistics of a state that was never written, beside the documents that wait."""
+    """Documents that wait while no state was ever written: all are to be scanned, none has a result."""
     state = ScanState(spark, f"{shared_folder(spark)}/never")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.lit("v1").alias("modified_time"))
     stats = dashboard.stats(state.results(), state.findings()).drop("last_activity")
-    return stats.withColumn("documents", table(spark, sf_dir, "documents").agg(F.count("*")).scalar())
+    waiting = resume.files_to_scan(docs, state.versions())
+    known = waiting.join(state.results().select("file_id", "error"), "file_id", "left").where("error IS NULL").drop("error")
+    return known.withColumns({c: stats.select(c).scalar() for c in ("scanned_count", "findings_count")})
 
 
 # --- streaming ------------------------------------------------------------------------

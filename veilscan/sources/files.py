@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from veilscan.functions.regex import SPACE
 from veilscan.functions.text import has_content
@@ -51,28 +51,67 @@ def local_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     )
 
 
-@F.pandas_udf(StringType())
-def _decode_legacy(content: pd.Series) -> pd.Series:
-    """Bytes that are not UTF-8: Korean charsets first, then one that never fails."""
+def _decoded(raw: bytes, charset: str) -> str | None:
+    try:
+        return raw.decode(charset)
+    except UnicodeDecodeError:
+        return None
 
-    def decode(raw):
-        if raw is None:
-            return None
-        for charset in ("euc-kr", "cp949"):
-            try:
-                return raw.decode(charset)
-            except UnicodeDecodeError:
-                continue
-        return raw.decode("latin-1")
 
-    return content.map(decode)
+def _table(entries: list) -> Column:
+    """A list as one constant of the plan."""
+    kind = "array<int>" if all(e is None or isinstance(e, int) for e in entries) else "array<string>"
+    return F.from_json(F.lit(json.dumps(entries)), kind)
+
+
+@functools.cache
+def _pairs(charset: str) -> list[str | None]:
+    """The character of each pair of bytes from 0x8100 on, asked of the codec once."""
+    return [_decoded(code.to_bytes(2), charset) for code in range(0x8100, 0x10000)]
+
+
+@functools.cache
+def _jamo(place: int) -> list[int | None]:
+    """What each last byte from 0xA1 on adds to a syllable spelled out in eight bytes, at one of its three places."""
+
+    def syllable(byte: int) -> int | None:
+        jamo = [0xA1, 0xBF, 0xD4]
+        jamo[place] = byte
+        text = _decoded(b"\xa4\xd4" + bytes(x for j in jamo for x in (0xA4, j)), "euc-kr")
+        return ord(text) - 0xAC00 if text else None
+
+    return [syllable(byte) for byte in range(0xA1, 0xFF)]
+
+
+# In bytes as Latin-1: single bytes together, pairs, and a syllable spelled out in eight bytes.
+PAIRS = r"(?s)[\x00-\x7f]++|[\x80-\xff].?"
+SPELLED = r"(?s)\xa4\xd4(?:\xa4.){3}|[\x00-\x7f]++|[\x80-\xff].?"
+
+
+def _korean(latin: Column, pattern: str, charset: str) -> Column:
+    """Text of bytes (given as Latin-1) in a Korean charset, NULL where they are none."""
+    at = lambda unit, i: F.ascii(F.substring(unit, i, 1))
+    pairs = _table(_pairs(charset))
+
+    def character(unit: Column) -> Column:
+        jamo = [F.get(_table(_jamo(place)), at(unit, 4 + 2 * place) - 0xA1) for place in range(3)]
+        spelled = F.decode(F.unhex(F.hex((jamo[0] + jamo[1] + jamo[2] + 0xAC00).cast("long"))), "UTF-16BE")
+        code = at(unit, 1) * 256 + at(unit, 2)
+        return F.when(at(unit, 1) < 0x80, unit).when(F.length(unit) == 8, spelled).when(code >= 0x8100, F.get(pairs, code - 0x8100))
+
+    units = F.transform(F.regexp_extract_all(latin, F.lit(f"({pattern})"), F.lit(1)), character)
+    return F.when(~F.exists(units, lambda u: u.isNull()), F.array_join(units, ""))
 
 
 def plain_text(content: Column) -> Column:
-    """UTF-8 stays in the JVM; only other bytes are handed to Python's codecs."""
+    """UTF-8 as it is; other bytes as one of the Korean charsets, else as Latin-1, which never fails.
+
+    All in built-in expressions: tables of the charsets are constants of the plan.
+    """
     text = content.cast("string")
-    valid = F.is_valid_utf8(text)
-    return F.when(valid, text).otherwise(_decode_legacy(F.when(~valid, content)))
+    latin = F.decode(content, "ISO-8859-1")
+    other = F.coalesce(_korean(latin, SPELLED, "euc-kr"), _korean(latin, PAIRS, "cp949"), latin)
+    return F.when(F.is_valid_utf8(text), text).otherwise(other)
 
 
 # A cell (quoted with what follows its quotes, or plain) and what ends it. Possessive, so linear.
