@@ -1428,6 +1428,27 @@ def incremental_scan(spark, sf_dir):
     return state.findings()
 
 
+@register(
+    "bounded_intake",
+    with_ctes(
+        sql.scan_ctes(texts_sql("documents")),
+        f"SELECT id AS file_id, {FINDING_COLUMNS}, CAST(4 AS BIGINT) AS batches FROM findings",
+    ),
+)
+def bounded_intake(spark, sf_dir):
+    """Seven files taken in two at a time: four batches, the same findings as in one."""
+    base = shared_folder(spark)
+    state = ScanState(spark, f"{base}/state")
+    documents = table(spark, sf_dir, "documents")
+    documents.repartition(7).write.parquet(f"{base}/inbox")
+    stream = incremental.text_stream(spark, f"{base}/inbox", documents.schema, max_files=2).select(
+        F.col("doc_id").cast("string").alias("file_id"), F.lit("v1").alias("modified_time"), "text"
+    )
+    incremental.scan_stream(stream, state, f"{base}/offsets").awaitTermination()
+    batches = state.batches().agg(F.count("*").alias("batches"))
+    return state.findings().withColumn("batches", batches.scalar())
+
+
 @register(
     "incremental_two_streams",
     with_ctes(
