@@ -79,6 +79,19 @@ def test_deep_pages_are_built_alike(tag):
     assert visible_text(nested).split()[-1] == "deep"
 
 
+def test_cells_span_many_rows():
+    for down, last in ((3, "c"), (1500, "c"), (1502, "    c"), (65_534, "    c")):
+        rows = visible_text(f"<table><tr><td rowspan={down}>a<td>b</tr>{'<tr><td>c</tr>' * 1501}</table>").split("\n")
+        assert (rows[0], rows[1], rows[-1], len(rows)) == ("a | b", "    c", last, 1502)
+
+
+def test_text_in_place_of_the_html(spark):
+    pages = spark.createDataFrame([(1, "<b>x", "y", "z")], "page_id long, html string, html_source string, Html_Source_ string")
+    done = extract(pages, to="html")
+    assert done.columns == ["page_id", "html_source__", "html_source", "Html_Source_", "html"]
+    assert tuple(done.first()) == (1, "<b>x", "y", "z", "x")
+
+
 def test_visible_text_takes_anything():
     rng = random.Random(5)
     parts = ["<table>", "<td>", "<tr", ">", "</table>", "<li>", "<ul>", "</ul>", "<p>", "x y", "&amp", "<!--", "-->", '"', "'", "<a b=", "</", "<pre>", "\n", "<script>", "</script>", "<td rowspan=99999999 colspan=0>"]

@@ -2,13 +2,16 @@
 
 The builder adds implied tags (an open paragraph, list item, option, row or cell ends where the next one
 starts; cells get a row and a table), ignores end tags that match nothing, and closes what a matching
-one leaves open. A head ends before text and before tags that cannot stand in it. Nesting has no limit: the renderer keeps a stack of its own. Visibility rules drop what a browser does not show: head, scripts, styles, templates, comments,
+one leaves open. A head ends before text and before tags that cannot stand in it. Nesting has no limit: the renderer
+keeps a stack of its own. Visibility rules drop what a browser does not show: head, scripts, styles, templates, comments,
 ``hidden``, ``display:none`` and ``visibility:hidden`` (but what is ``visible`` again inside), closed details
 but for their summary. Texts of drawings and formulas are kept, without what these do not show.
 
 Blocks get lines of their own, paragraphs, headings, lists and tables a blank line around them. List items
 are numbered or dashed and indented by level. Cells of a table are padded to columns, over spans of rows and
-columns. White space collapses but in ``pre``. A page without html has an empty text.
+columns. White space collapses but in ``pre``. A page without html (null or empty) has an empty text. Pages are
+rendered each by itself, so repeated rows and repeated ids give the same text again, and there is no order to break
+ties in.
 """
 
 from __future__ import annotations
@@ -408,7 +411,7 @@ def table_lines(node: Node) -> Step:
             while column in taken:
                 column += 1
             across, lines = number(cell.attrs.get("colspan"), 1), (yield flowed(cell))
-            if (down := number(cell.attrs.get("rowspan"), 1)) > 1:
+            if (down := number(cell.attrs.get("rowspan"), 1, 65_534)) > 1:
                 next_taken |= {column + i: down - 1 for i in range(across)}
             if across == 1:
                 widths[column] = max(widths.get(column, 0), *(len(line) for line in lines), 0)
@@ -442,10 +445,18 @@ def visible_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
-    """``pages`` with the visible text of each page in ``to`` (an input column of that name gives way)."""
+    """``pages`` with the visible text of each page in ``to`` (an input column of that name gives way).
+
+    Where that is the html's own name, the html moves to ``<name>_source``, with as many ``_`` after it as no other column has.
+    """
     small_batches(pages.sparkSession)
-    kept = pages.drop(to) if to.lower() != html_col.lower() else pages.withColumnRenamed(html_col, f"{html_col}_source")
-    at = kept.columns.index(html_col if html_col in kept.columns else f"{html_col}_source")
+    kept, source = pages.drop(to), html_col
+    if to.lower() == html_col.lower():
+        source += "_source"
+        while source.lower() in (c.lower() for c in pages.columns):
+            source += "_"
+        kept = pages.withColumnRenamed(html_col, source)
+    at = kept.columns.index(source)
     schema = T.StructType([*kept.schema.fields, T.StructField(to, T.StringType(), False)])
 
     def run(batches):
