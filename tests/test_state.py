@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilscan.operators import resume
-from veilscan.operators.scan import FINDING_TYPE
+from veilscan.operators.scan import FINDING_TYPE, scan_rows
 from veilscan.sources import cache
 from veilscan.sources.state import ScanState
 from veilscan.streaming.incremental import running_totals, scan_batch, scan_stream, text_stream
@@ -291,3 +291,35 @@ def test_streams_that_write_at_the_same_time(spark, tmp_path):
     state.write_batch(batch(spark, [("a", "again", "x")]), batch_id, stream)
     assert dict(tuple(r) for r in state.versions().collect())["a"] == versions["a"]
     assert state.batches().count() == 9 and state.log().where(f"stream = '{stream}' AND batch_id = {batch_id}").count() == 1
+
+
+def test_totals_are_added_up_batch_by_batch(spark, tmp_path):
+    state = ScanState(spark, str(tmp_path / "state"))
+
+    def recount():
+        rows = state.results().collect()
+        times = [r.last_scanned for r in rows]
+        return (len(rows), sum(bool(r.error) for r in rows), sum(len(r.findings or ()) for r in rows), max(times, default=None))
+
+    def check(kept):
+        for _ in range(2):  # the second time from what was kept
+            assert tuple(running_totals(state).first()) == recount()
+        assert len(list((tmp_path / "state" / "totals").glob("t*.json"))) == kept
+
+    def write(rows, batch_id, stream="main", day=1):
+        results = batch(spark, rows).withColumn("text", F.nullif("text", F.lit("")))
+        failed = results.withColumn("error", F.when(F.col("text").isNull(), "no text"))
+        done = scan_rows(failed, "text").withColumn("last_scanned", F.lit(f"2020-01-0{day}").cast("timestamp"))
+        state.write_batch(done, batch_id, stream)
+
+    check(0)
+    write([("a", "1", "x@y.example"), ("b", "1", "c@d.example e@f.example"), ("c", "1", "")], 0)
+    check(1)
+    write([("b", "2", "none"), ("d", "1", "q@r.example")], 1, day=5)
+    check(2)
+    write([("d", "2", ""), ("b", "3", "s@t.example")], 2, day=3)  # the last activity goes back
+    check(3)
+    write([("a", "9", "")], 0, "other", day=2)
+    check(4)
+    write([("b", "2", "u@v.example w@x.example"), ("e", "1", "y@z.example")], 1, day=5)  # a replay in between
+    check(5)

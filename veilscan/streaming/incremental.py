@@ -16,7 +16,6 @@ from pyspark.sql.types import StructType
 
 from veilscan.functions.text import has_content
 from veilscan.operators.resume import pick_changed
-from veilscan.operators.risk import has_error
 from veilscan.operators.scan import scan_rows
 from veilscan.params import ScanParams
 from veilscan.sources.files import NO_TEXT
@@ -84,10 +83,5 @@ def scan_stream(
 
 
 def running_totals(state: ScanState) -> DataFrame:
-    """Progress so far: files done, with errors, findings, last activity."""
-    return state.results().agg(
-        F.count("*").alias("files_done"),
-        F.count_if(has_error(F.col("error"))).alias("error_files"),
-        F.coalesce(F.sum(F.size("findings")), F.lit(0)).alias("total_findings"),
-        F.max("last_scanned").alias("last_activity"),
-    )
+    """Progress so far: files done, with errors, findings, last activity; see ``ScanState.totals``."""
+    return state.totals()
