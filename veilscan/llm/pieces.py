@@ -6,7 +6,8 @@ word and the markers of the next. Then a text is cut into chunks of markers and
 every distinct chunk is segmented once (see ``chunks.py``), and ids join back by position. Decoding
 works on the same table: a chunk's text is decoded once and joined by position.
 
-Rows without a text count as empty texts: no ids, and an empty decoded text.
+Rows without a text count as empty texts: no ids, and an empty decoded text. Rows are encoded each by itself, so
+repeated rows give the same ids again. Input columns named ``ids`` or ``decoded`` give way to the results.
 """
 
 from __future__ import annotations

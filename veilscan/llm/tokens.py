@@ -6,7 +6,8 @@ dictionary-coded, the ascending and counting columns delta-coded; row groups and
 have a page index, so a reader of some documents or of counts alone touches few pages. A side table has
 each shard's first position, so that a document starts at its shard's position plus ``before``.
 
-Rows without a text count as empty texts: they hold the end id alone.
+Rows without a text count as empty texts: they hold the end id alone. Repeated rows are all written. Columns other
+than ``doc_id`` and ``text`` are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ left is multiplied out, and a task's own results raise its bounds as it goes on.
 Components become floor(64 * x). Vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without an id. Vectors of different dimensions have no product and don't meet. A row that is repeated
 exactly counts once; rows with the query's id are never its results. Products must stay below 2^53.
+Columns other than ``vec_id`` and ``embedding`` are left out, whatever their names.
 """
 
 from __future__ import annotations
