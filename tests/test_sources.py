@@ -188,3 +188,11 @@ def test_shared_folder_follows_the_cluster_setting(spark, tmp_path, monkeypatch)
 
     monkeypatch.setattr(type(spark), "conf", property(lambda self: Conf()))
     assert workspace.shared_folder(spark).startswith(f"{tmp_path}/veilscan-")
+
+
+def test_csv_is_cut_once(spark):
+    """Cells are read by five passes, not by five for each place that uses them."""
+    df = spark.createDataFrame([(b'a ,,"b ""c""",d\n,\n"two\nlines"',)], "content binary")
+    done = df.select(files.csv_text(F.col("content")).alias("text"))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count(r"\G(?:") == 5
+    assert done.first().text == 'a b "c" d\n\ntwo\nlines'
