@@ -196,3 +196,18 @@ def test_csv_is_cut_once(spark):
     done = df.select(files.csv_text(F.col("content")).alias("text"))
     assert done._jdf.queryExecution().optimizedPlan().toString().count(r"\G(?:") == 5
     assert done.first().text == 'a b "c" d\n\ntwo\nlines'
+
+
+def test_letters_and_csv_in_tasks_of_bounded_length(spark, tmp_path, monkeypatch):
+    from veilscan.plans import queries
+    from veilscan.sources import workspace
+
+    monkeypatch.setattr(workspace, "TASK_ROWS", 10, raising=False)
+    for key, columns in (("o_orderkey", "o_orderkey + 0 AS o_custkey"), ("c_custkey", "concat('C#', c_custkey) AS c_name")):
+        name = "orders" if key == "o_orderkey" else "customer"
+        spark.range(1, 201).coalesce(1).withColumnRenamed("id", key).selectExpr("*", columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    part = "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size"
+    spark.range(200).coalesce(1).selectExpr(*part).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (queries.letters(spark, str(tmp_path)), queries.extract_csv(spark, str(tmp_path))):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 200 and len(sizes) == 20 and max(sizes) <= 2 * 10
