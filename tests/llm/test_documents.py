@@ -5,11 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import EDGE_ROWS, SF_DIR, contamination, documents, jaccard_components
 from pyspark.sql import functions as F
 
-from veilscan.llm import decontaminate, language, ngram_join, pieces, secrets, tokens
+from veilscan.llm import common, decontaminate, language, ngram_join, pieces, secrets, tokens
 from veilscan.llm.queries import QUERIES, vocabulary
 
 PIECES, BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -91,6 +92,35 @@ def test_token_files_of_odd_texts(spark):
     assert sorted(got) == token_digests([(i, t) for i, t, _ in rows])
 
 
+def test_token_table_starts_anew(spark):
+    own = tokens.IdEncoder(vocabulary(BPE))
+    own.table.limit = 3
+    lines = ["a.\nb, c.\n", "a\n\nb c,\r\nd", "a.) b., 'c's.\n<|endoftext|>\nd e, x\n\ty", "of,\nand\nthe 1.5, 2.\n.\n"]
+    for texts in (["a b c d e", "", "f  g "], ["f g", "x <|endoftext|> y", "a b"], lines, ["", " "], ["a b c d e"]):
+        ids, n = own.run(pa.array(texts), 2)
+        expected = [[*own.model.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == [i for e in expected for i in e] and n.tolist() == [len(e) for e in expected]
+
+
+def test_token_table_keeps_many_words(spark):
+    own, given = tokens.IdEncoder(vocabulary(BPE)), []
+    plain = own.ids
+    own.ids = lambda texts: given.append(sum(t.count(" ") for t in texts)) or plain(texts)
+    half = [" ".join(f"w{i}" for i in range(a, a + 160_000)) for a in (0, 160_000)]
+    first = own.run(pa.array(half[:1]), 2)[0]
+    own.run(pa.array(half[1:]), 2)
+    assert 319_000 < sum(given) <= 320_000
+    assert (own.run(pa.array(half[:1]), 2)[0] == first).all() and sum(given) <= 320_000
+
+
+def test_pooled_batches():
+    texts = ["ab", None, "", "abcdefgh" * 40, "c", "d" * 30, None]
+    rows = pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["k", "text"])
+    got = list(common.pooled(iter([rows.slice(0, 0), rows.slice(0, 3), rows.slice(3, 1), rows.slice(4, 3)]), 1, 200))
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts
+    assert [b.num_rows for b in got] == [3, 1, 3] and not list(common.pooled(iter([]), 1, 200))
+
+
 def test_token_files_of_edge_rows(spark):
     got = [tuple(r) for r in tokens.digests(documents(spark), vocabulary(BPE)).collect()]
     assert len(got) == len(EDGE_ROWS)

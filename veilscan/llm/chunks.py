@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class _Places(dict):
@@ -57,6 +59,49 @@ class ChunkTable:
         return self.ids[at], lengths
 
 
+class WordTable:
+    """The same for chunks that stay in Arrow, which takes a tenth of the memory of a table of Python strings.
+
+    ``encode`` maps new chunks to their numbers in an order of its own, their ids in turn and the number of ids
+    of each. A lookup goes through the whole table, so it is meant for many chunks at a time.
+    """
+
+    def __init__(self, encode: Callable, limit: int = 1_000_000, limit_bytes: int = 32 << 20):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks = pa.array([], pa.string())
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.starts = np.zeros(1, dtype=np.int32)
+
+    def places(self, chunks: pa.StringArray) -> np.ndarray:
+        """The table's entry of each chunk; unknown ones are encoded first.
+
+        Places hold until the next call.
+        """
+        if len(self.chunks) > self.limit or self.chunks.nbytes > self.limit_bytes or self.ids.nbytes > 2 * self.limit_bytes:
+            self.clear()
+        found = pc.index_in(chunks, value_set=self.chunks)
+        places = found.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        if found.null_count:
+            missing = found.is_null()
+            new = chunks.filter(missing).dictionary_encode()
+            order, ids, lengths = self.encode(new.dictionary)
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(self.chunks), len(self.chunks) + len(order))
+            places[missing.to_numpy(zero_copy_only=False)] = place[new.indices.to_numpy()]
+            self.chunks = pa.concat_arrays([self.chunks, new.dictionary.take(pa.array(order))])
+            self.ids = np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int32)])
+        return places
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in turn, and how many ids each chunk has."""
+        lists = pa.ListArray.from_arrays(pa.array(self.starts), pa.array(self.ids)).take(pa.array(places))
+        return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
 def in_order(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and lengths of all chunks in turn, from groups of (chunk numbers, ids, lengths)."""
     numbers, ids, lengths = (np.concatenate([g[i] for g in groups]) for i in range(3))

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilscan.llm.chunks import ChunkTable, in_order, sums
-from veilscan.llm.common import byte_slices, give_back, list_column, shared_folder, single_thread, small_batches
+from veilscan.llm.chunks import WordTable, sums
+from veilscan.llm.common import give_back, list_column, pooled, shared_folder, single_thread, small_batches
 
 #: Before a single space between two characters that are no white space, every pre-tokenizer of the
 #: byte-level kind starts a new token; so texts may be cut there.
@@ -34,9 +34,21 @@ EDGE = re.compile(r"(?<=\S)(?= \S)")
 BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD = f"^ | $|{BLANK} | {BLANK}"
 
+#: A space and a word without white space at its end, nor a "<", with which added tokens start.
+PLAIN = f"^ [^ <]*[^<{BLANK[1:-1]}]$"
+#: No white space and no "<" at all.
+BARE = f"^[^<{BLANK[1:-1]}]+$"
+#: Words that are not cut at line ends: white space beside one, or nothing.
+BAD_LINES = f"^\n|\n$|{BLANK}\n|\n{BLANK}"
+#: A new token starts between a letter or digit and a full stop or comma; what follows the word is white space.
+ENDED = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}][.,]$"
+
 #: Chunks that the model is given at once.
 GROUP = 256
 
+#: Bytes of text that are cut and numbered together.
+SLICE = 24 << 20
+
 SCHEMA = "doc_id long, shard int, before long, n_tokens long, ids array<int>"
 
 
@@ -66,23 +78,34 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.table = ChunkTable(self.encode, limit=300_000)
+        self.table = WordTable(self.encode)
+        [self.line] = self.ids(["\n"])[0]
         space = "\u0120"  # how byte-level vocabularies write a space
         self.spaced = np.array([(self.model.id_to_token(i) or "").startswith(space) for i in range(self.model.get_vocab_size())])
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        groups = []
+    def encode(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk numbers in an order of its own, the ids of these chunks in turn and the number of ids of each."""
         # Chunks whose only space is the first character are given to the model many at a time; the
         # first id of each is the only one that stands for a string with a space in front.
-        plain = [i for i, c in enumerate(chunks) if c[:1] == " " and c.count(" ") == 1 and "<" not in c and not c[-1].isspace()]
-        for at in range(0, len(plain), GROUP):
-            own = plain[at : at + GROUP]
-            flat = np.array(self.ids(["".join([chunks[i] for i in own])])[0], dtype=np.int32)
-            groups.append((np.array(own), flat, np.diff(np.flatnonzero(self.spaced[flat]), append=len(flat))))
-        rest = sorted(set(range(len(chunks))) - set(plain))
-        for i, ids in zip(rest, self.ids([chunks[i] for i in rest]), strict=True):
-            groups.append((np.array([i]), np.array(ids, dtype=np.int32), np.array([len(ids)])))
-        return in_order(groups)
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        bare = pc.match_substring_regex(chunks, BARE)
+        ids, lengths, texts = [], [], chunks.filter(plain).to_pylist()
+        for at in range(0, len(texts), GROUP):
+            flat = np.array(self.ids(["".join(texts[at : at + GROUP])])[0], dtype=np.int32)
+            ids.append(flat)
+            lengths.append(np.diff(np.flatnonzero(self.spaced[flat]), append=len(flat)))
+        # Those without white space are joined by line ends.
+        texts = chunks.filter(bare).to_pylist()
+        for at in range(0, len(texts), GROUP):
+            flat = np.array(self.ids(["\n".join(texts[at : at + GROUP])])[0], dtype=np.int32)
+            ends = np.flatnonzero(flat == self.line)
+            ids.append(np.delete(flat, ends))
+            lengths.append(np.diff(ends, prepend=-1, append=len(flat)) - 1)
+        for own in self.ids(chunks.filter(pc.invert(pc.or_(plain, bare))).to_pylist()):
+            ids.append(np.array(own, dtype=np.int32))
+            lengths.append(np.array([len(own)]))
+        kind = np.where(plain.to_numpy(zero_copy_only=False), 0, np.where(bare.to_numpy(zero_copy_only=False), 1, 2))
+        return np.argsort(kind, kind="stable"), np.concatenate(ids), np.concatenate(lengths)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,8 +113,8 @@ class IdEncoder:
     def run(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with the end id behind it, and how many ids each text has.
 
-        Evenly spaced texts are cut and their words numbered by Arrow, so only a slice's distinct words are
-        looked up; the others are cut one by one.
+        Evenly spaced texts are cut and their words numbered by Arrow, so only the distinct words are looked
+        up; the others are cut one by one.
         """
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(~odd)
@@ -99,21 +122,50 @@ class IdEncoder:
         first = words.offsets.to_numpy()[:-1]
         counts = np.diff(words.offsets.to_numpy()).astype(np.int64)
         coded = words.values.dictionary_encode()
-        known = [f" {w}" for w in coded.dictionary.to_pylist()]
-        heads = words.values.take(pa.array(first)).to_pylist()
+        heads = words.values.take(pa.array(first))
         cut = [EDGE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-        places = self.table.places([*known, *heads, *(c for own in cut for c in own)])
-        own, rest = places[: len(known)][coded.indices.to_numpy()], places[len(known) + len(heads) :]
-        own[first] = places[len(known) : len(known) + len(heads)]
+        single = pa.concat_arrays([heads, pa.array([c for own in cut for c in own], pa.string())])
+        number, lists = self.lists(coded.dictionary, single)
+        own, n_words = number[coded.indices.to_numpy()], len(number)
+        own[first] = np.arange(n_words, n_words + len(heads))
         all_counts = np.zeros(len(texts), dtype=np.int64)
         all_counts[rows] = counts
         if cut:
             all_counts[odd] = [len(c) for c in cut]
             row = np.concatenate([np.repeat(rows, counts), np.repeat(np.flatnonzero(odd), all_counts[odd])])
+            rest = np.arange(n_words + len(heads), len(lists))
             own = np.concatenate([own, rest])[np.argsort(row, kind="stable")]
-        ids, lengths = self.table.gather(own)
-        n = sums(lengths, all_counts)
-        return np.insert(ids, np.cumsum(n), end_id).astype(np.int32), n + 1
+        taken = lists.take(pa.array(own))
+        n = sums(np.diff(taken.offsets.to_numpy()), all_counts)
+        return np.insert(taken.flatten().to_numpy(), np.cumsum(n), end_id), n + 1
+
+    def lists(self, words: pa.StringArray, single: pa.StringArray) -> tuple[np.ndarray, pa.ListArray]:
+        """The ids of words that follow a space and of single chunks, and the place of each word in this list.
+
+        Words are looked up in parts: lines, and before a full stop or comma.
+        """
+        space = lambda part: pc.binary_join_element_wise("", part, " ")
+        whole = pc.match_substring_regex(words, BAD_LINES).to_numpy(zero_copy_only=False)
+        order = np.argsort(whole, kind="stable")
+        number = np.empty(len(words), dtype=np.int64)
+        number[order] = np.arange(len(words))
+        lines = pc.split_pattern(words.filter(pa.array(~whole)), "\n")
+        at, parts = lines.offsets.to_numpy(), lines.flatten()
+        starts = np.zeros(len(parts), dtype=bool)
+        starts[at[:-1]] = True
+        ended = pc.match_substring_regex(parts, ENDED)
+        stems = pc.if_else(ended, pc.utf8_slice_codeunits(parts, 0, -1), parts)
+        stems = pc.if_else(pa.array(starts), space(stems), stems)
+        others = pa.concat_arrays([space(words.filter(pa.array(whole))), single])
+        places = self.table.places(pa.concat_arrays([stems, others, pa.array(["", "\n", ".", ","])]))
+        none, line, stop, comma = places[-4:]
+        stopped = pc.ends_with(parts, ".").to_numpy(zero_copy_only=False)
+        ended = ended.to_numpy(zero_copy_only=False)
+        tails = np.where(ended, np.where(stopped, stop, comma), none)
+        threes = np.stack([np.where(starts, none, line), places[: len(parts)], tails], axis=1)
+        ids, lengths = self.table.gather(np.concatenate([threes.ravel(), places[len(parts) : -4]]))
+        n = sums(lengths, np.concatenate([3 * np.diff(at), np.ones(len(others), dtype=np.int64)]))
+        return number, list_column(ids, n, pa.int32())
 
 
 @lru_cache(maxsize=4)
@@ -132,15 +184,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, layout
 
     def run(batches):
         own, before = encoder(tokenizer), 0
-        for whole in batches:
-            for batch in byte_slices(whole, 1):
-                ids, n = own.run(batch.column(1).fill_null(""), end_id)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(3), pa.array(starts), pa.array(n), list_column(ids, n, pa.int32())],
-                    names=["doc_id", "shard", "before", "n_tokens", "ids"],
-                )
+        for batch in pooled(batches, 1, SLICE):
+            ids, n = own.run(batch.column(1).fill_null(""), end_id)
+            starts = before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(3), pa.array(starts), pa.array(n), list_column(ids, n, pa.int32())],
+                names=["doc_id", "shard", "before", "n_tokens", "ids"],
+            )
         give_back()
 
     ranged.mapInArrow(run, SCHEMA).write.options(**layout.options()).parquet(f"{path}/tokens")
