@@ -87,6 +87,16 @@ def test_context_distance(spark):
     assert {i: v for i, v in got.items()} == {i: scan_text(t, params) for i, t in enumerate(texts)}
 
 
+def test_keywords_count_for_rules_with_matches(spark):
+    """Words of one rule boost no other, and are looked for only where a rule that has them matched."""
+    words = ["passport", "medicare", "visa", "mobile", "rrn"]
+    texts = [f"{w} M12345678 and 1234567893, {v}" for w in words for v in words] + ["visa abcdefghi", "passport abcdefghi", "passport"]
+    params = ScanParams()
+    assert spark_scan(spark, texts, params) == {i: scan_text(t, params) for i, t in enumerate(texts)}
+    plan = scan(spark.createDataFrame([("a",)], "t string"), "t", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" in plan
+
+
 def test_chunk_edges_change_results_like_in_plain_python(spark):
     text = ("word " * 1999 + "abcdefghijk" + " M12345678 passport ") * 2
     params = ScanParams()
