@@ -64,13 +64,14 @@ class Texts:
         """Where a keyword begins."""
         if word not in self._places:
             # U+0130 becomes an i and a dot above: it can only close a word.
-            forms = [word, word[:-1] + "İ"] if word[-1] == "i" and "İ" in self.lowered else [word]
+            lowered = self.lowered
+            forms = [word, word[:-1] + "İ"] if word[-1] == "i" and "İ" in lowered else [word]
             found = []
             for form in forms:
-                at = self.lowered.find(form)
+                at = lowered.find(form)
                 while at >= 0:
                     found.append(at)
-                    at = self.lowered.find(form, at + 1)
+                    at = lowered.find(form, at + 1)
             self._places[word] = np.sort(np.array(found, dtype=np.int64))
         return self._places[word]
 
